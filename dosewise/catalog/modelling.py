@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from dosewise.catalog.registry import Inputs, query
 from dosewise.operators import elasticnet, scale, score, split
 from dosewise.plans import training
+from dosewise.session import materialise
 
 ENTITY = "drug_slug"
 ROW = ["assay_id", "depmap_model_id"]
 
 
 def _parts(t: Inputs) -> DataFrame:
-    return split.assign_split(t.modelling, ENTITY, ROW)
+    points = materialise(split.split_points(t.modelling, ENTITY, ROW))
+    return split.assign_split(t.modelling, ENTITY, ROW, points=points)
 
 
 def _scaled(t: Inputs) -> DataFrame:

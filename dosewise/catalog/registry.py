@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dosewise.catalog import bindings
 from dosewise.operators import assemble
+from dosewise.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,14 +73,14 @@ class Inputs:
 
     @cached_property
     def modelling(self) -> DataFrame:
-        """The dataset of named entities with a target that depends on the features."""
+        """The stored dataset of named entities with a target that depends on the features."""
         signal = (
             2 * F.col("features")[0]
             - 1.5 * F.col("features")[1]
             + 0.5 * F.col("features")[2]
             + 0.1 * ((F.col("assay_id") * 7919 % 1000) / F.lit(1000.0) - 0.5)
         )
-        return self.dataset.where("drug_slug IS NOT NULL").withColumn("ln_ic50", signal)
+        return materialise(self.dataset.where("drug_slug IS NOT NULL").withColumn("ln_ic50", signal))
 
 
 def query(name: str, oracle: str | None = None, uses: tuple[str, ...] = ()):

@@ -48,10 +48,8 @@ def _tsv(t: Inputs) -> DataFrame:
 )
 def _documents_csv(t: Inputs) -> DataFrame:
     path = f"{workspace(t.spark)}/documents.csv"
-    encoded = t.table("documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("text"), "lang")
-    writers.write_table(encoded, path)
-    back = readers.read_table(t.spark, path, schema="doc_id bigint, text string, lang string")
-    return back.withColumn("text", F.decode(F.unbase64("text"), "UTF-8"))
+    writers.write_table(t.table("documents").select("doc_id", "text", "lang"), path)
+    return readers.read_table(t.spark, path, schema="doc_id bigint, text string, lang string", multiline=True)
 
 
 @query(

@@ -58,13 +58,14 @@ def score_terms(hits: DataFrame, entity: str, background: int | Column = BACKGRO
     """
     total = background if isinstance(background, Column) else F.lit(int(background)).cast("bigint")
     keys = [entity, "gene_set", "overlap", "set_size", "n_genes"]
-    pairs = hits.groupBy(*keys).agg(F.count("*").alias("__terms"))
+    sized = hits.withColumn("__total", total.cast("bigint"))
+    pairs = sized.groupBy(*keys).agg(F.count("*").alias("__terms"), F.max("__total").alias("__total"))
     overlap, drawn, marked = _counts()
-    scored = pairs.withColumn("p_value", hypergeometric_tail(overlap, drawn, marked, total)).withColumn(
-        "odds_ratio", odds_ratio(overlap, drawn, marked, total)
+    scored = pairs.withColumn("p_value", hypergeometric_tail(overlap, drawn, marked, F.col("__total"))).withColumn(
+        "odds_ratio", odds_ratio(overlap, drawn, marked, F.col("__total"))
     )
     adjusted = adjust_p_values(scored, [entity, "gene_set"], "p_value", "__terms")
-    side = adjusted.withColumn("combined_score", -F.ln("p_value") * F.col("odds_ratio")).drop("__terms", "n_genes")
+    side = adjusted.withColumn("combined_score", -F.ln("p_value") * F.col("odds_ratio")).drop("__terms", "__total", "n_genes")
     side = side.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in side.columns])
     match = F.col(entity).eqNullSafe(F.col(f"__{entity}"))
     for k in ("gene_set", "overlap", "set_size"):

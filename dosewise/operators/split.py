@@ -68,16 +68,19 @@ def assign_split(
     test_fraction: float = TEST_FRACTION,
     folds: int = CV_FOLDS,
     group_col: str | None = None,
+    points: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``split`` ('train'/'test') and ``fold`` (1..k, NULL for test rows).
 
     ``row_cols`` must identify a row within its entity. The rows themselves are not
     shuffled: each is compared with the cut points of its entity. With
     ``group_col`` the groups are split instead of the rows, so that all rows of a
-    sample fall on the same side.
+    sample fall on the same side. ``points`` takes stored cut points of the same
+    settings.
     """
     keys = [group_col] if group_col else row_cols
-    points = split_points(df, entity, keys, seed, test_fraction, folds, distinct_keys=group_col is not None)
+    if points is None:
+        points = split_points(df, entity, keys, seed, test_fraction, folds, distinct_keys=group_col is not None)
     points = points.withColumnRenamed(entity, "__entity")
     joined = df.withColumn("__key", split_key(keys, seed)).join(
         points, F.col(entity).eqNullSafe(F.col("__entity")), "left"

@@ -38,12 +38,17 @@ def train_all(
     """Split, standardise, cross-validate, refit and score all entities together.
 
     The scaler sees the whole training part before the folds are cut, like the
-    procedure this follows. Rows without an entity name have no model. The products
-    and the errors are read twice and therefore written to the workspace; both are
-    small, as they do not grow with the rows.
+    procedure this follows. Rows without an entity name have no model. ``dataset``
+    should be a stored table, as it is read several times. What is read twice along
+    the way (cut points, moments, products, errors) is written to the workspace;
+    none of it grows with the rows.
     """
     named = dataset.where(F.col(entity).isNotNull())
-    rows = split.assign_split(named, entity, list(row_cols), seed, test_fraction, folds, group_col)
+    keys = [group_col] if group_col else list(row_cols)
+    points = materialise(
+        split.split_points(named, entity, keys, seed, test_fraction, folds, distinct_keys=group_col is not None)
+    )
+    rows = split.assign_split(named, entity, list(row_cols), seed, test_fraction, folds, group_col, points)
     train = rows.where("split = 'train'")
     scaler = materialise(scale.fit_scaler(train, entity))
     scaled = scale.apply_scaler(rows, scaler, entity)

@@ -22,13 +22,15 @@ def read_table(
     kind: str = "input",
     schema: T.StructType | str | None = None,
     infer: bool = False,
+    multiline: bool = False,
     suffixes: tuple[str, ...] = (".csv", ".tsv", ".parquet"),
 ) -> DataFrame:
     """Read a table by the suffix of its path.
 
     Without a schema the columns of a text table are strings, which is what
     identifiers need; ``infer=True`` costs one more pass over the data. Words for
-    "missing" become NULL in every string column of a text table.
+    "missing" become NULL in every string column of a text table. ``multiline`` is
+    for quoted line breaks; such a file is read by one task.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in suffixes:
@@ -46,6 +48,7 @@ def read_table(
             quote='"',
             escape='"',
             maxColumns=_MAX_COLUMNS,
+            multiLine=multiline,
         )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
