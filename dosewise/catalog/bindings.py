@@ -156,4 +156,6 @@ def with_bindings(sql: str, uses: tuple[str, ...]) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{name} AS ({_CTES[name].strip()})" for name in chosen)
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     return f"WITH {ctes},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {ctes}\n{body}"

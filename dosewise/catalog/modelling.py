@@ -141,26 +141,143 @@ def _names(t: Inputs) -> DataFrame:
     return first.select("pos", F.format_string("G%d (%d)", "pos", "pos").alias("feature"))
 
 
-@query("elasticnet_cv")
-def _cv(t: Inputs) -> DataFrame:
-    return _train(t).errors.withColumn("mse", F.round("mse", 6))
+# --- One stated penalty: fits that plain SQL can repeat by many small proximal steps.
+
+L1_RATIO, ALPHA = 0.5, 0.05
+FIT_SQL = f"""RECURSIVE t AS MATERIALIZED (SELECT drug_slug, assay_id, depmap_model_id, j, z, ln_ic50 AS y FROM z WHERE split = 'train'),
+g AS MATERIALIZED (SELECT drug_slug, list(r ORDER BY i) AS gram, max(total) AS top FROM
+  (SELECT a.drug_slug, a.j AS i, list(a.v ORDER BY a.k) AS r, sum(abs(a.v)) AS total FROM
+    (SELECT p.drug_slug, p.j, q.j AS k, avg(p.z * q.z) - avg(p.z) * avg(q.z) AS v FROM t p
+     JOIN t q ON q.drug_slug = p.drug_slug AND q.assay_id = p.assay_id AND q.depmap_model_id = p.depmap_model_id GROUP BY ALL) a
+   GROUP BY ALL) GROUP BY drug_slug),
+c AS MATERIALIZED (SELECT drug_slug, list(v ORDER BY j) AS slope, list(m ORDER BY j) AS x_mean, max(y_mean) AS y_mean FROM
+  (SELECT drug_slug, j, avg(z * y) - avg(z) * avg(y) AS v, avg(z) AS m, avg(y) AS y_mean FROM t GROUP BY ALL) GROUP BY drug_slug),
+fit AS (
+  SELECT drug_slug, 0 AS step, [CAST(0 AS DOUBLE) for m in slope] AS w FROM c
+  UNION ALL
+  SELECT drug_slug, step + 1, [sign(u) * greatest(abs(u) - {ALPHA * L1_RATIO} / top, 0) / (1 + {ALPHA * (1 - L1_RATIO)} / top) for u in u]
+  FROM (SELECT f.drug_slug, f.step, g.top,
+          [f.w[i] - (list_dot_product(g.gram[i], f.w) - c.slope[i]) / g.top for i in range(1, len(f.w) + 1)] AS u
+        FROM fit f JOIN g USING (drug_slug) JOIN c USING (drug_slug) WHERE f.step < 2000)),
+final AS (SELECT f.drug_slug, f.w, c.y_mean - list_dot_product(f.w, c.x_mean) AS b FROM fit f JOIN c USING (drug_slug) WHERE f.step = 2000),
+coefs AS (SELECT drug_slug, b, CASE WHEN abs(w) < 5e-6 THEN CAST(0 AS DOUBLE) ELSE w END AS w, j FROM
+  (SELECT drug_slug, b, unnest(w) AS w, unnest(range(len(w))) AS j FROM final)),
+scored AS (SELECT z.drug_slug, z.assay_id, z.depmap_model_id, z.ln_ic50, sum(z.z * k.w) + min(k.b) AS prediction
+  FROM z JOIN coefs k ON k.drug_slug = z.drug_slug AND k.j = z.j WHERE z.split = 'test' GROUP BY ALL),
+quality AS (SELECT drug_slug, sqrt(avg(pow(ln_ic50 - prediction, 2))) AS rmse,
+  1 - sum(pow(ln_ic50 - prediction, 2)) / (var_pop(ln_ic50) * count(*)) AS r2 FROM scored GROUP BY drug_slug)"""
+
+
+class Fit:
+    """All entities fitted with the one stated penalty."""
+
+    def __init__(self, t: Inputs):
+        rows = _parts(t)
+        train = rows.where("split = 'train'")
+        self.scaler = materialise(scale.fit_scaler(train, ENTITY))
+        self.scaled = scale.apply_scaler(rows, self.scaler, ENTITY)
+        products = elasticnet.fold_products(self.scaled.where("split = 'train'"), ENTITY, t.n_features)
+        penalties = self.scaler.select(
+            ENTITY, F.lit(L1_RATIO).alias("l1_ratio"), F.lit(ALPHA).alias("alpha")
+        ).distinct()
+        self.model = materialise(elasticnet.fit(products, penalties, ENTITY, t.n_features))
+
+    @property
+    def metrics(self) -> DataFrame:
+        test = self.scaled.where("split = 'test'")
+        return score.evaluate(score.predict(test, self.model, ENTITY), ENTITY, "ln_ic50")
+
+
+def feature_names(t: Inputs) -> DataFrame:
+    """Feature names by position, taken from the data: G<pos> (<pos>)."""
+    first = t.expression.select(F.explode(F.sequence(F.lit(0), F.size("features") - 1)).alias("pos")).distinct()
+    return first.select("pos", F.format_string("G%d (%d)", "pos", "pos").alias("feature"))
 
 
-@query("elasticnet_model")
-def _model(t: Inputs) -> DataFrame:
-    model = _train(t).model
-    return model.select(
-        ENTITY, "l1_ratio", "alpha", F.round("intercept", 6).alias("intercept"), F.posexplode("coefficients").alias("pos", "coefficient")
-    ).withColumn("coefficient", F.round("coefficient", 6))
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query(
+    "elasticnet_coefficients",
+    f"WITH {FIT_SQL} SELECT drug_slug, CAST(j AS BIGINT) AS pos, round(w, 5) AS coefficient, round(b, 5) AS intercept FROM coefs",
+    ("z",),
+)
+def _coefficients(t: Inputs) -> DataFrame:
+    model = Fit(t).model.select(ENTITY, F.posexplode("coefficients").alias("pos", "coefficient"), "intercept")
+    model = model.withColumn("pos", F.col("pos").cast("bigint"))
+    return rounded(model, 5, "coefficient", "intercept")
 
 
-@query("coefficient_table")
+@query(
+    "coefficient_table",
+    f"""WITH {FIT_SQL} SELECT drug_slug, concat('G', j, ' (', j, ')') AS feature, round(w, 5) AS coefficient,
+  round(abs(w), 5) AS abs_coefficient FROM coefs""",
+    ("z",),
+)
 def _coefficient_table(t: Inputs) -> DataFrame:
-    table = score.coefficient_table(_train(t).model, _names(t), ENTITY)
-    return table.withColumns({c: F.round(c, 6) for c in ("coefficient", "abs_coefficient")})
+    table = score.coefficient_table(Fit(t).model, feature_names(t), ENTITY)
+    return rounded(table, 5, "coefficient", "abs_coefficient")
+
+
+# --- Cross-validated fits: 3 x 50 penalties and 5 folds per entity. The SQL takes many accelerated proximal steps.
+
+_STEPS = 260
+CV_SQL = f"""RECURSIVE t AS MATERIALIZED (SELECT drug_slug, assay_id, depmap_model_id, fold, j, z, ln_ic50 AS y FROM z WHERE split = 'train'),
+prod AS MATERIALIZED (SELECT drug_slug, fold, j, k, sum(zz) AS s FROM
+  (SELECT p.drug_slug, p.fold, p.j, q.j AS k, p.z * q.z AS zz FROM t p
+   JOIN t q ON q.drug_slug = p.drug_slug AND q.assay_id = p.assay_id AND q.depmap_model_id = p.depmap_model_id) GROUP BY ALL),
+lin AS MATERIALIZED (SELECT drug_slug, fold, j, count(*) AS n, sum(z) AS sz, sum(y) AS sy, sum(z * y) AS szy FROM t GROUP BY ALL),
+rest_lin AS MATERIALIZED (SELECT a.drug_slug, a.fold, a.j, sum(b.n) AS n, sum(b.sz) AS sz, sum(b.sy) AS sy, sum(b.szy) AS szy
+  FROM lin a JOIN lin b ON b.drug_slug = a.drug_slug AND b.j = a.j AND b.fold <> a.fold GROUP BY ALL),
+rest AS (SELECT a.drug_slug, a.fold, a.j, a.k, sum(b.s) AS s FROM prod a
+  JOIN prod b ON b.drug_slug = a.drug_slug AND b.j = a.j AND b.k = a.k AND b.fold <> a.fold GROUP BY ALL),
+g AS MATERIALIZED (SELECT drug_slug, fold, list(r ORDER BY j) AS gram, max(total) AS top FROM
+  (SELECT drug_slug, fold, j, list(v ORDER BY k) AS r, sum(abs(v)) AS total FROM
+    (SELECT r.drug_slug, r.fold, r.j, r.k, r.s / x.n - x.sz / x.n * (y.sz / y.n) AS v FROM rest r
+     JOIN rest_lin x ON x.drug_slug = r.drug_slug AND x.fold = r.fold AND x.j = r.j
+     JOIN rest_lin y ON y.drug_slug = r.drug_slug AND y.fold = r.fold AND y.j = r.k) GROUP BY ALL) GROUP BY ALL),
+c AS MATERIALIZED (SELECT drug_slug, fold, list(szy / n - sz / n * (sy / n) ORDER BY j) AS slope, list(sz / n ORDER BY j) AS x_mean, max(sy / n) AS y_mean
+  FROM rest_lin GROUP BY ALL),
+fit AS (
+  SELECT drug_slug, fold, l1_ratio, i, pow(CAST(10 AS DOUBLE), -3 + i * CAST(4 AS DOUBLE) / 49) AS alpha, 0 AS step,
+    [CAST(0 AS DOUBLE) for m in slope] AS w, [CAST(0 AS DOUBLE) for m in slope] AS v
+  FROM c, (SELECT unnest([0.1, 0.5, 0.9]) :: DOUBLE AS l1_ratio), (SELECT unnest(range(50)) AS i)
+  UNION ALL
+  SELECT drug_slug, fold, l1_ratio, i, alpha, step + 1, nw, [nw[x] + 0.8 :: DOUBLE * (nw[x] - w[x]) for x in range(1, len(w) + 1)] FROM (
+    SELECT drug_slug, fold, l1_ratio, i, alpha, step, w,
+      [sign(u) * greatest(abs(u) - alpha * l1_ratio / top, 0) / (1 + alpha * (1 - l1_ratio) / top) for u in u] AS nw
+    FROM (SELECT f.*, g.top, [f.v[x] - (list_dot_product(g.gram[x], f.v) - c.slope[x]) / g.top for x in range(1, len(f.v) + 1)] AS u
+          FROM fit f JOIN g ON g.drug_slug = f.drug_slug AND g.fold = f.fold JOIN c ON c.drug_slug = f.drug_slug AND c.fold = f.fold
+          WHERE f.step < {_STEPS}))),
+best AS MATERIALIZED (SELECT f.drug_slug, f.fold, f.l1_ratio, f.alpha, f.w, c.y_mean - list_dot_product(f.w, c.x_mean) AS b
+  FROM fit f JOIN c ON c.drug_slug = f.drug_slug AND c.fold = f.fold WHERE f.step = {_STEPS}),
+held AS MATERIALIZED (SELECT drug_slug, fold, assay_id, depmap_model_id, list(z ORDER BY j) AS x, max(y) AS y FROM t GROUP BY ALL)"""
+
+
+def _train(t: Inputs) -> training.Training:
+    return training.train_all(t.modelling, t.n_features, ENTITY, tuple(ROW))
+
+
+@query(
+    "elasticnet_cv",
+    f"""WITH {CV_SQL} SELECT m.drug_slug, m.l1_ratio, round(m.alpha, 9) AS alpha, m.fold,
+  round(avg(pow(h.y - m.b - list_dot_product(h.x, m.w), 2)), 6) AS mse
+FROM best m JOIN held h ON h.drug_slug = m.drug_slug AND h.fold = m.fold GROUP BY m.drug_slug, m.l1_ratio, m.alpha, m.fold""",
+    ("z",),
+)
+def _cv(t: Inputs) -> DataFrame:
+    return rounded(rounded(_train(t).errors, 6, "mse"), 9, "alpha")
+
+
+@query("elasticnet_model")
+def _model(t: Inputs) -> DataFrame:
+    model = _train(t).model.select(
+        ENTITY, "l1_ratio", "alpha", "intercept", F.posexplode("coefficients").alias("pos", "coefficient")
+    )
+    return rounded(model, 6, "intercept", "coefficient")
 
 
 @query("trained_metrics")
 def _trained_metrics(t: Inputs) -> DataFrame:
-    metrics = _train(t).metrics
-    return metrics.select(ENTITY, "n", F.round("rmse", 6).alias("rmse"), F.round("r2", 6).alias("r2"))
+    return rounded(_train(t).metrics.select(ENTITY, "n", "rmse", "r2"), 6, "rmse", "r2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.catalog.modelling import ENTITY, _names, _train
+from dosewise.catalog.modelling import ALPHA, ENTITY, FIT_SQL, L1_RATIO, Fit, feature_names, rounded
 from dosewise.catalog.ranking import _genes
 from dosewise.catalog.registry import Inputs, query
 from dosewise.operators import enrich, score
@@ -105,18 +105,31 @@ def _expression_csv(t: Inputs) -> DataFrame:
     return long.select("model_id", F.col("pos").cast("bigint").alias("pos"), "feature", F.round("value", 6).alias("value"))
 
 
-@query("metrics_json_roundtrip")
+@query(
+    "metrics_json_roundtrip",
+    f"""WITH {FIT_SQL}, n AS (SELECT drug_slug, count(*) AS n_samples, CAST(max(len(features)) AS BIGINT) AS n_features FROM modelling GROUP BY ALL)
+SELECT drug_slug, 'per_entity' AS dataset, n_samples, n_features, CAST(0.2 AS DOUBLE) AS test_size, CAST(42 AS BIGINT) AS random_state,
+  round(r2, 4) AS r2, round(rmse, 5) AS rmse, CAST({ALPHA} AS DOUBLE) AS best_alpha, CAST({L1_RATIO} AS DOUBLE) AS best_l1_ratio
+FROM n JOIN quality USING (drug_slug)""",
+    ("z",),
+)
 def _metrics_json(t: Inputs) -> DataFrame:
-    run = _train(t)
-    record = score.metrics_record(t.modelling, run.metrics, run.model, ENTITY, "per_entity")
+    fitted = Fit(t)
+    record = score.metrics_record(t.modelling, fitted.metrics, fitted.model, ENTITY, "per_entity")
     path = f"{workspace(t.spark)}/metrics"
     writers.write_records(record, path)
     back = readers.read_records(t.spark, path, record.schema)
-    return back.withColumns({c: F.round(c, 6) for c in ("r2", "rmse", "best_alpha")})
+    return rounded(rounded(back, 4, "r2"), 5, "rmse")
 
 
-@query("model_table")
+@query(
+    "model_table",
+    f"""WITH {FIT_SQL} SELECT k.drug_slug, CAST(k.j AS BIGINT) AS pos, concat('G', k.j, ' (', k.j, ')') AS feature, round(m.mean, 6) AS mean,
+  round(m.scale, 6) AS scale, round(k.w, 5) AS coefficient FROM coefs k JOIN moments m ON m.drug_slug = k.drug_slug AND m.j = k.j""",
+    ("z",),
+)
 def _model_table(t: Inputs) -> DataFrame:
-    run = _train(t)
-    table = materialise(score.model_table(run.model, run.scaler, _names(t), ENTITY))
-    return table.withColumns({c: F.round(c, 6) for c in ("mean", "scale", "coefficient")})
+    fitted = Fit(t)
+    table = materialise(score.model_table(fitted.model, fitted.scaler, feature_names(t), ENTITY))
+    table = table.withColumn("pos", F.col("pos").cast("bigint"))
+    return rounded(rounded(table, 6, "mean", "scale"), 5, "coefficient")
