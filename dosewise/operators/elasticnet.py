@@ -10,6 +10,7 @@ features only. A training part is the total minus its held-out fold.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ MAX_GRAM_FEATURES = 2000
 _SORT_ABOVE = 256
 _BUFFER_BYTES = 256 << 20
 _TOLERANCE = 1e-10
+_RIDGE_FLOOR = 1e-10
 
 
 def penalty_grid(entities: DataFrame, entity: str, l1_ratios: list[float] | None = None) -> DataFrame:
@@ -156,6 +158,8 @@ def _descend(hessian: np.ndarray, moment: np.ndarray, lasso: float, w: np.ndarra
         w = w.copy()
         w[chosen] = paths[:, int(values.argmin())]
         signs = np.sign(w)
+    else:
+        warnings.warn("Elastic net did not reach its tolerance", stacklevel=2)
     return w
 
 
@@ -163,8 +167,10 @@ def solve(gram: np.ndarray, moment: np.ndarray, alphas: np.ndarray, l1_ratio: fl
     """Solutions along a descending list of penalties, each started from the one before; a column per alpha."""
     weights = np.zeros((len(moment), len(alphas)))
     w = np.zeros(len(moment))
+    # A pure lasso on dependent features has many solutions; the floor picks one of least norm.
+    floor = _RIDGE_FLOOR * float(np.diag(gram).max(initial=1.0))
     for k, alpha in enumerate(alphas):
-        hessian = gram + alpha * (1 - l1_ratio) * np.eye(len(moment))
+        hessian = gram + max(alpha * (1 - l1_ratio), floor) * np.eye(len(moment))
         w = _descend(hessian, moment, alpha * l1_ratio, w)
         weights[:, k] = w
     return weights

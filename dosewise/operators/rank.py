@@ -114,7 +114,7 @@ def coefficient_histogram(coefficients: DataFrame, entity: str, bins: int = HIST
     share = F.try_divide(F.col("coefficient") - F.col("lo"), F.col("hi") - F.col("lo"))
     placed = coefficients.join(side, F.col(entity).eqNullSafe(F.col("__entity"))).select(
         entity,
-        F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int").alias("bin"),
+        F.least(F.coalesce(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"),
     )
     counts = placed.groupBy(entity, "bin").agg(F.count("*").alias("__n"))
     every = span.select(
