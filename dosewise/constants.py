@@ -4,6 +4,13 @@ Everything in this module is a fixed value: the results depend on these exact
 words, thresholds and grids. They are data, not logic, and live in one place.
 """
 
+# --- Characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- Words a text table may use for "missing" (compared exactly, case matters).
 NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",

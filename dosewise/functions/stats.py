@@ -27,30 +27,34 @@ def log_factorial(n: Column) -> Column:
 def hypergeometric_tail(overlap: Column, drawn: Column, marked: Column, total: Column) -> Column:
     """P(X >= overlap) for ``drawn`` picks out of ``total`` of which ``marked`` are hits.
 
-    Each term is taken from its logarithm, so that tails far from the mean neither
-    underflow at their start nor overflow in a recurrence.
+    The first term comes from its logarithm, the others from their ratio to the one
+    before, so the sum is relative to the first term. It exceeds the range of a
+    double only where the first term, and all below it, is under 1e-308: then the
+    tail is 1.
     """
-    fixed = (
+    first = F.greatest(overlap, drawn + marked - total, F.lit(0))
+    last = F.least(marked, drawn)
+    log_first = (
         log_factorial(marked)
+        - log_factorial(first)
+        - log_factorial(marked - first)
         + log_factorial(total - marked)
+        - log_factorial(drawn - first)
+        - log_factorial(total - marked - drawn + first)
+        - log_factorial(total)
         + log_factorial(drawn)
         + log_factorial(total - drawn)
-        - log_factorial(total)
     )
-    first = F.greatest(overlap, drawn + marked - total, F.lit(0))
-    last = F.least(marked, drawn)
-    points = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-    terms = F.transform(
-        points,
-        lambda x: F.exp(
-            fixed
-            - log_factorial(x)
-            - log_factorial(marked - x)
-            - log_factorial(drawn - x)
-            - log_factorial(total - marked - drawn + x)
-        ),
-    )
-    return F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda acc, term: acc + term))
+    steps = F.when(first < last, F.sequence(first, last - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def add(acc: Column, x: Column) -> Column:
+        ratio = ((marked - x) * (drawn - x)).cast("double") / ((x + 1) * (total - marked - drawn + x + 1)).cast("double")
+        term = acc["term"] * ratio
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    relative = F.aggregate(steps, start, add, lambda acc: acc["sum"])
+    return F.when(first > last, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.exp(log_first + F.ln(relative))))
 
 
 def odds_ratio(overlap: Column, drawn: Column, marked: Column, total: Column) -> Column:

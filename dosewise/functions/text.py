@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dosewise.constants import FALLBACK_SLUG, ID_NULL_TOKENS, NULL_TOKENS
-
-# Unicode white space plus the four ASCII separators that Java's \s leaves out.
-_BLANK = r"[\s\x{1c}-\x{1f}]"
+from dosewise.constants import FALLBACK_SLUG, ID_NULL_TOKENS, NULL_TOKENS, WHITE_SPACE
 
 
 def strip_blank(c: Column) -> Column:
-    """Strip Unicode white space; ``trim`` would leave tabs and no-break spaces."""
-    return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    """Strip Unicode white space; a plain ``trim`` would leave tabs and no-break spaces."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def normalise_name(c: Column) -> Column:
@@ -23,16 +20,18 @@ def normalise_name(c: Column) -> Column:
 
 def join_key(c: Column) -> Column:
     """Upper-case key without any white space."""
-    return F.upper(F.regexp_replace(c.cast("string"), f"(?U){_BLANK}+", ""))
+    return F.upper(F.translate(c.cast("string"), WHITE_SPACE, ""))
 
 
 def clean_id(c: Column) -> Column:
     """Identifier text: stripped, missing words to NULL, one trailing ``.0`` removed.
 
-    Feed it text. A DOUBLE column would already have become ``1.2406792E7``.
+    Feed it text. A DOUBLE column would already have become ``1.2406792E7``. Plain
+    string functions, because filters on the result evaluate it again.
     """
     stripped = strip_blank(c.cast("string"))
-    return F.regexp_replace(F.when(~stripped.isin(ID_NULL_TOKENS), stripped), r"\.0$", "")
+    bare = F.when(F.endswith(stripped, F.lit(".0")), F.left(stripped, F.length(stripped) - 2)).otherwise(stripped)
+    return F.when(~stripped.isin(ID_NULL_TOKENS), bare)
 
 
 def usable_id(c: Column) -> Column:
@@ -47,13 +46,13 @@ def entity_key(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Lower-case, runs of anything but ``a-z0-9`` to one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(entity_key(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(entity_key(c), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def file_slug(c: Column) -> Column:
     """Slug used for storage names: replaced before lower-casing, never empty."""
     ascii_only = F.regexp_replace(strip_blank(c.cast("string")), "[^A-Za-z0-9]+", "_")
-    named = F.lower(F.regexp_replace(ascii_only, "^_+|_+$", ""))
+    named = F.lower(F.btrim(ascii_only, F.lit("_")))
     return F.when(named == "", F.lit(FALLBACK_SLUG)).otherwise(named)
 
 

@@ -52,10 +52,11 @@ def bridge_join(expression: DataFrame, metadata: DataFrame, model: str = "model_
 def join_features(response: DataFrame, bridge: DataFrame, expression: DataFrame) -> DataFrame:
     """Response rows x bridge x expression, many to many, bad targets left out.
 
-    The narrow tables are joined first, so that feature arrays travel once, and
-    both filters run before any join. Features and target stay in one row.
+    The narrow tables are joined first, so that feature arrays travel once, and the
+    target filter runs before any join. Ids need no filter of their own: the bridge
+    holds usable ones only. Features and target stay in one row.
     """
-    usable = response.where(usable_id(F.col("cosmic_id")) & F.col("ln_ic50").isNotNull())
+    usable = response.where(F.col("ln_ic50").isNotNull())
     matched = usable.join(bridge.withColumnRenamed("model_id", "__model"), "cosmic_id")
     rows = matched.join(expression, F.col("__model").eqNullSafe(F.col("model_id")))
     return rows.select(

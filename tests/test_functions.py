@@ -72,7 +72,7 @@ def exact_tail(a, n, k, total):
 
 
 def test_hypergeometric_tail_equals_exact_integers(spark):
-    cases = [(5, 250, 95, 20000), (1, 250, 1, 20000), (3, 10, 12, 30), (1, 1000, 500, 2000), (10, 10, 10, 20), (2, 25, 28, 30)]
+    cases = [(5, 250, 95, 20000), (1, 250, 1, 20000), (3, 10, 12, 30), (1, 1000, 500, 2000), (10, 10, 10, 20), (2, 25, 28, 30), (1, 3000, 3000, 6000)]
     df = spark.createDataFrame(cases, "a bigint, n bigint, k bigint, t bigint")
     got = [
         (r.a, r.n, r.k, r.t, r.p)
