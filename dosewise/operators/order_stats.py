@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,62 +15,48 @@ def _same(left: str, right: str, groups: list[str]) -> Column:
     return condition
 
 
-def bucket_counts(rows: DataFrame, groups: list[str], bucket: str) -> DataFrame:
-    """Rows per group and bucket (combined before the shuffle)."""
-    return rows.groupBy(*groups, bucket).agg(F.count("*").alias("__n"))
-
-
 def pick_ranks(
     rows: DataFrame,
-    counts: DataFrame,
-    targets: DataFrame,
     groups: list[str],
     bucket: str,
     value: str,
+    ranks: Callable[[Column], Column],
 ) -> DataFrame:
-    """The values at given 1-based ranks of each group.
+    """The values at given 1-based ranks of each group: ``(groups, label, value)``.
 
     ``rows`` hold groups, bucket and value, where buckets follow the order of the
-    values; ``targets`` hold groups, ``label`` and ``rank``. Running totals over the
-    few buckets of a group tell which bucket holds a rank, and only that bucket is
-    ordered, with equal values combined first. Bad buckets cost time, never
-    exactness.
+    values; ``ranks`` turns the size of a group into an array of ranks, whose index
+    is the label. Running totals over the few buckets of a group tell which bucket
+    holds a rank, and only that bucket is ordered, with equal values combined
+    first. Bad buckets cost time, never exactness.
     """
-    per_group = Window.partitionBy(*groups).orderBy(bucket)
-    spans = counts.withColumn("__end", F.sum("__n").over(per_group))
-    wanted = (
-        spans.alias("s")
-        .join(targets.alias("t"), _same("s", "t", groups))
-        .where((F.col("t.rank") > F.col("s.__end") - F.col("s.__n")) & (F.col("t.rank") <= F.col("s.__end")))
-        .select(
-            *[F.col(f"s.{g}").alias(g) for g in groups],
-            F.col(f"s.{bucket}").alias(bucket),
-            F.col("t.label").alias("label"),
-            (F.col("t.rank") - F.col("s.__end") + F.col("s.__n")).alias("__offset"),
-        )
-    )
     keys = [*groups, bucket]
-    needed = wanted.select(*keys).distinct()
+    per_group = Window.partitionBy(*groups)
+    spans = (
+        rows.groupBy(*keys)
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__total", F.sum("__n").over(per_group))
+        .withColumn("__end", F.sum("__n").over(per_group.orderBy(bucket)))
+    )
+    before = F.col("__end") - F.col("__n")
+    offsets = F.transform(
+        ranks(F.col("__total")), lambda rank, label: F.struct(label.alias("label"), (rank - before).alias("offset"))
+    )
+    inside = F.filter(offsets, lambda t: (t["offset"] > 0) & (t["offset"] <= F.col("__n")))
+    wanted = spans.select(*keys, inside.alias("__wanted")).where(F.size("__wanted") > 0)
     distinct_values = (
         rows.alias("r")
-        .join(needed.alias("w"), _same("r", "w", keys), "left_semi")
-        .groupBy(*keys, value)
-        .agg(F.count("*").alias("__copies"))
+        .join(wanted.alias("w"), _same("r", "w", keys))
+        .groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"r.{value}").alias(value))
+        .agg(F.count("*").alias("__copies"), F.first("w.__wanted").alias("__wanted"))
     )
-    per_bucket = Window.partitionBy(*keys).orderBy(value)
-    ranked = distinct_values.withColumn("__last", F.sum("__copies").over(per_bucket))
-    return (
-        ranked.alias("v")
-        .join(wanted.alias("w"), _same("v", "w", keys))
-        .where(
-            (F.col("w.__offset") > F.col("v.__last") - F.col("v.__copies"))
-            & (F.col("w.__offset") <= F.col("v.__last"))
-        )
-        .select(
-            *[F.col(f"v.{g}").alias(g) for g in groups],
-            F.col("w.label").alias("label"),
-            F.col(f"v.{value}").alias(value),
-        )
+    ranked = distinct_values.withColumn("__last", F.sum("__copies").over(Window.partitionBy(*keys).orderBy(value)))
+    hits = F.filter(
+        "__wanted",
+        lambda t: (t["offset"] > F.col("__last") - F.col("__copies")) & (t["offset"] <= F.col("__last")),
+    )
+    return ranked.select(*groups, value, F.explode(hits).alias("__hit")).select(
+        *groups, F.col("__hit.label").alias("label"), value
     )
 
 
@@ -87,8 +75,7 @@ def exact_median(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     shares = [0.5 - _MIDDLE, 0.5 + _MIDDLE]
     present = rows.where(F.col(value).isNotNull()).select(*groups, value)
     borders = present.groupBy(*groups).agg(
-        F.percentile_approx(value, shares, F.lit(_SKETCH_ACCURACY)).alias("__borders"),
-        F.count("*").alias("__total"),
+        F.percentile_approx(value, shares, F.lit(_SKETCH_ACCURACY)).alias("__borders")
     )
     bucketed = (
         present.alias("p")
@@ -99,14 +86,9 @@ def exact_median(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
             F.size(F.filter("b.__borders", lambda edge: edge < F.col(f"p.{value}"))).alias("__bucket"),
         )
     )
-    targets = borders.select(
-        *groups,
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("label"), F.floor((F.col("__total") + 1) / 2).cast("bigint").alias("rank")),
-                F.struct(F.lit(1).alias("label"), F.floor((F.col("__total") + 2) / 2).cast("bigint").alias("rank")),
-            )
-        ).alias("t"),
-    ).select(*groups, "t.label", "t.rank")
-    middle = pick_ranks(bucketed, bucket_counts(bucketed, groups, "__bucket"), targets, groups, "__bucket", value)
+
+    def middle_ranks(n: Column) -> Column:
+        return F.array(F.floor((n + 1) / 2).cast("bigint"), F.floor((n + 2) / 2).cast("bigint"))
+
+    middle = pick_ranks(bucketed, groups, "__bucket", value, middle_ranks)
     return middle.groupBy(*groups).agg(F.avg(value).alias("median"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.constants import CV_FOLDS, SEED, TEST_FRACTION
-from dosewise.operators.order_stats import bucket_counts, pick_ranks
+from dosewise.operators.order_stats import pick_ranks
 
 # Leading hex digits of the hash that form a bucket: 65,536 equally likely buckets.
 _BUCKET_DIGITS = 4
@@ -37,24 +37,18 @@ def split_points(
     keyed = df.select(entity, split_key(row_cols, seed).alias("__key"))
     keyed = keyed.distinct() if distinct_keys else keyed
     rows = keyed.withColumn("__bucket", F.substring("__key", 1, _BUCKET_DIGITS))
-    counts = bucket_counts(rows, [entity], "__bucket")
-    sizes = counts.groupBy(entity).agg(F.sum("__n").alias("n"))
-    n_test = F.ceil(F.lit(float(test_fraction)) * F.col("n")).cast("bigint")
-    sizes = sizes.select(entity, n_test.alias("n_test"), (F.col("n") - n_test).alias("n_train"))
-    ends = sizes.select(
-        entity,
-        F.posexplode(
-            F.array(
-                *[
-                    F.col("n_test")
-                    + F.lit(f) * F.floor(F.col("n_train") / folds)
-                    + F.least(F.lit(f), F.col("n_train") % folds)
-                    for f in range(folds)
-                ]
-            )
-        ).alias("label", "rank"),
-    )
-    cuts = pick_ranks(rows, counts, ends, [entity], "__bucket", "__key")
+
+    def ends(n: Column) -> Column:
+        n_test = F.ceil(F.lit(float(test_fraction)) * n).cast("bigint")
+        n_train = n - n_test
+        return F.array(
+            *[
+                n_test + F.lit(f) * F.floor(n_train / folds).cast("bigint") + F.least(F.lit(f), n_train % folds)
+                for f in range(folds)
+            ]
+        )
+
+    cuts = pick_ranks(rows, [entity], "__bucket", "__key", ends)
     return cuts.groupBy(entity).agg(
         *[F.max(F.when(F.col("label") == f, F.col("__key"))).alias(f"__cut{f}") for f in range(folds)]
     )
