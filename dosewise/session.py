@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +28,36 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per Spark context, so that they can import it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_dosewise_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="dosewise-"), "dosewise.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in sorted(os.walk(top)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._dosewise_shipped = True
+
+
 def workspace(spark: SparkSession) -> str:
     """A fresh folder for intermediate tables.
 
-    It lies below ``spark.checkpoint.dir``, the storage all executors share. Only a
-    session without that setting (tests on one machine) gets a local folder.
+    It lies below ``spark.checkpoint.dir``, the storage all executors share. Only a session on one
+    machine may lack that setting; it gets a local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="dosewise-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
