@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from . import bpe, chat, decontaminate, line_dedup, ngram_join, pairwise_quality, quality_rules, secrets, wavelet
+from . import bpe, chat, compact_windows, decontaminate, line_dedup, ngram_join, pairwise_quality, quality_rules, secrets, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", "finding", F.round("probability", 6).alias("probability"), "is_secret")
+
+
+@query
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.find(table(spark, sf_dir, "documents"))
