@@ -202,7 +202,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._words: dict[bytes, bytes] = {}
+        self._words = _Words(self)
         probe = ["Abc, déf's", "x y", "e ́a", "<|endoftext|>"]
         whole = self._library([" \n".join(probe)])[0]
         if whole != [i for word in " ".join(probe).split(" ") for i in self._library([word])[0]]:
@@ -215,49 +215,36 @@ class WordIds:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not known yet. Plain words are encoded in lower case and without a last comma or stop."""
-        known = self._words
-        if len(known) > MAX_WORDS:
-            known.clear()
-            words = set(words)
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
-        for word in words:
-            if word.isascii():
-                stem = word.lower()
-                if len(stem) > 1 and stem[-1:] in b".,!" and stem[:-1].isalpha():
-                    stems[word] = (stem[:-1], stem[-1:])
-                else:
-                    stems[word] = (stem, b"")
-            elif len(word) > 3 and word[-1:] in b".,!" and word[-2:-1].isalpha():
-                stems[word] = (word[:-1], word[-1:])
-            else:
-                stems[word] = (word, b"")
-        new = {part for pair in stems.values() for part in pair if part and part not in known}
-        if self._plain_is_piece:
-            model, plain = self.tokenizer.model, [w for w in new if w.isalpha()]
-            for word in plain:
-                known[word] = array("I", [t.id for t in model.tokenize(word.decode())]).tobytes()
-            new.difference_update(plain)
-        new = list(new)
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            for word, ids in zip(part, self._library([w.decode("utf-8", "replace") for w in part]), strict=True):
-                known[word] = np.array(ids, "<u4").tobytes()
-        for word, (stem, mark) in stems.items():
-            known[word] = known[stem] + (known[mark] if mark else b"")
+    def ids_of(self, word: bytes) -> bytes:
+        """Ids of one word by the library."""
+        text = word.decode("utf-8", "replace")
+        if self._plain_is_piece and word.isalpha() and word.islower():
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        known = self._words
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                self.learn({w for w in words if w not in known} if len(known) <= MAX_WORDS else set(words))
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        if len(self._words) > MAX_WORDS:
+            self._words.clear()
+        get = self._words.__getitem__
+        return [b"".join(map(get, text.split())) for text in texts]
+
+
+class _Words(dict):
+    """Ids of words met so far. ASCII words are looked up in lower case, and a letter's last mark apart."""
+
+    def __init__(self, coder: WordIds):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in b".,!" and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        elif word.isascii() and not word.islower() and (low := word.lower()) != word:
+            ids = self[low]
+        else:
+            ids = self.coder.ids_of(word)
+        self[word] = ids
+        return ids
 
 
 _WORD_IDS: dict[str, WordIds] = {}
