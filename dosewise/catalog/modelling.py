@@ -131,16 +131,6 @@ def _select(t: Inputs) -> DataFrame:
     return best.withColumn("mean_mse", F.round("mean_mse", 9))
 
 
-def _train(t: Inputs) -> training.Training:
-    return training.train_all(t.modelling, t.n_features, ENTITY, tuple(ROW))
-
-
-def _names(t: Inputs) -> DataFrame:
-    """Feature names by position, taken from the data: G<pos> (<pos>)."""
-    first = t.expression.select(F.explode(F.sequence(F.lit(0), F.lit(t.n_features - 1))).alias("pos")).distinct()
-    return first.select("pos", F.format_string("G%d (%d)", "pos", "pos").alias("feature"))
-
-
 # --- One stated penalty: fits that plain SQL can repeat by many small proximal steps.
 
 L1_RATIO, ALPHA = 0.5, 0.05
@@ -173,25 +163,24 @@ class Fit:
 
     def __init__(self, t: Inputs):
         rows = _parts(t)
-        train = rows.where("split = 'train'")
-        self.scaler = materialise(scale.fit_scaler(train, ENTITY))
-        self.scaled = scale.apply_scaler(rows, self.scaler, ENTITY)
-        products = elasticnet.fold_products(self.scaled.where("split = 'train'"), ENTITY, t.n_features)
+        self.rows = rows
+        factors = materialise(elasticnet.fold_factors(rows.where("split = 'train'"), ENTITY, t.n_features))
+        self.scaler = materialise(elasticnet.scaler_of(factors, ENTITY))
         penalties = self.scaler.select(
             ENTITY, F.lit(L1_RATIO).alias("l1_ratio"), F.lit(ALPHA).alias("alpha")
         ).distinct()
-        self.model = materialise(elasticnet.fit(products, penalties, ENTITY, t.n_features))
+        self.model = materialise(elasticnet.fit(factors, penalties, ENTITY))
+        self.raw = materialise(elasticnet.raw_model(self.model, self.scaler, ENTITY))
 
     @property
     def metrics(self) -> DataFrame:
-        test = self.scaled.where("split = 'test'")
-        return score.evaluate(score.predict(test, self.model, ENTITY), ENTITY, "ln_ic50")
+        test = self.rows.where("split = 'test'")
+        return score.evaluate(score.predict(test, self.raw, ENTITY), ENTITY, "ln_ic50")
 
 
 def feature_names(t: Inputs) -> DataFrame:
-    """Feature names by position, taken from the data: G<pos> (<pos>)."""
-    first = t.expression.select(F.explode(F.sequence(F.lit(0), F.size("features") - 1)).alias("pos")).distinct()
-    return first.select("pos", F.format_string("G%d (%d)", "pos", "pos").alias("feature"))
+    """Feature names by position: G<pos> (<pos>)."""
+    return t.spark.range(t.n_features).select(F.col("id").cast("int").alias("pos")).select("pos", F.format_string("G%d (%d)", "pos", "pos").alias("feature"))
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -267,7 +256,8 @@ FROM best m JOIN held h ON h.drug_slug = m.drug_slug AND h.fold = m.fold GROUP B
     ("z",),
 )
 def _cv(t: Inputs) -> DataFrame:
-    return rounded(rounded(_train(t).errors, 6, "mse"), 9, "alpha")
+    errors = _train(t).errors.select(ENTITY, "l1_ratio", "alpha", "fold", "mse")
+    return rounded(rounded(errors, 6, "mse"), 9, "alpha")
 
 
 @query("elasticnet_model")

@@ -39,3 +39,9 @@ def alpha_at(i: Column) -> Column:
     """The i-th (0-based) value of the logarithmic penalty grid."""
     step = (ALPHA_EXPONENT_HIGH - ALPHA_EXPONENT_LOW) / (N_ALPHAS - 1)
     return F.pow(F.lit(10.0), F.lit(ALPHA_EXPONENT_LOW) + i * F.lit(step))
+
+
+def alpha_values(n: int = N_ALPHAS) -> list[float]:
+    """The penalty grid as numbers, ascending."""
+    step = (ALPHA_EXPONENT_HIGH - ALPHA_EXPONENT_LOW) / max(1, n - 1)
+    return [10.0 ** (ALPHA_EXPONENT_LOW + i * step) for i in range(n)]

@@ -1,35 +1,35 @@
-"""Elastic net with a cross-validated penalty, for every entity at once.
+"""Elastic net with a cross-validated penalty, for every entity at once and features of any number.
 
 Objective, on standardised features and with a free intercept:
 ``1/(2n) * |y - Xw - b|^2 + a*r*|w|_1 + a*(1-r)/2 * |w|^2``.
 
-Sums of products per (entity, fold) are everything a fit needs. They are built in
-parallel over the rows and added up by Spark; their size depends on the number of
-features only. A training part is the total minus its held-out fold.
+What a fit needs of its rows ``A = [1, x, y]`` is ``A'A``, and any matrix R with ``R'R = A'A`` gives it. Tasks reduce their rows
+to such a factor (by QR as soon as rows outnumber columns), Spark stacks the factors and reduces them again, so an (entity,
+fold) ends with as many rows as it has, or as it has columns, whichever is less. Nothing of size features x features is made
+unless there are that many rows. Means, scales, training parts (all factors but the held-out fold's) and held-out errors
+are taken from the factors; feature rows are never scaled or joined with moments.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.constants import L1_RATIOS, MAX_SWEEPS, N_ALPHAS
-from dosewise.functions.numbers import alpha_at
+from dosewise.functions.numbers import alpha_at, alpha_values
+from dosewise.session import ship_package
 
-# Above this number of features the p x p products of one entity no longer fit a task.
-MAX_GRAM_FEATURES = 2000
-_SORT_ABOVE = 256
 _BUFFER_BYTES = 256 << 20
 _TOLERANCE = 1e-10
 _RIDGE_FLOOR = 1e-10
+#: Parts in which the factors of an (entity, fold) are reduced before they meet.
+_SALTS = 16
 
 
 def penalty_grid(entities: DataFrame, entity: str, l1_ratios: list[float] | None = None) -> DataFrame:
@@ -45,99 +45,162 @@ def penalty_grid(entities: DataFrame, entity: str, l1_ratios: list[float] | None
     )
 
 
-def fold_products(train: DataFrame, entity: str, n_features: int, features: str = "features", target: str = "ln_ic50") -> DataFrame:
-    """Sums of products ``(entity, fold, i, j, v)`` of the augmented rows ``[1, x, y]``, i <= j.
+def _reduced(rows: np.ndarray) -> np.ndarray:
+    """Rows with the same products, no more of them than columns."""
+    return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
 
-    Each task multiplies its own rows block by block and hands on one partial
-    matrix per (entity, fold); Spark adds the partial matrices cell by cell.
+
+def fold_factors(train: DataFrame, entity: str, n_features: int, features: str = "features", target: str = "ln_ic50") -> DataFrame:
+    """Factors ``(entity, fold, row)`` of the augmented rows ``[1, x, y]``.
+
+    A missing or non-finite feature or target, or a row of another length, raises with the entity's name in the pass that
+    reads the rows anyway. ``fold`` -1 stands for rows without a fold.
     """
-    if n_features > MAX_GRAM_FEATURES:
-        raise ValueError(f"{n_features} features: use fit_one_distributed() above {MAX_GRAM_FEATURES}")
+    spark = train.sparkSession
+    ship_package(spark)
     width = n_features + 2
-    limit = max(1, _BUFFER_BYTES // (8 * width * width))
     kind = dict(train.dtypes)[entity]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
+        names_type = pa.string()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (name, fold), cells in sums.items():
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        entity: pa.array([name] * width, names_type),
-                        "fold": pa.array([fold] * width, pa.int64()),
-                        "i": pa.array(range(width), pa.int32()),
-                        "cells": pa.array([cells[i, i:] for i in range(width)], pa.list_(pa.float64())),
-                    }
-                )
-            sums.clear()
+            for (name, fold), rows in held.items():
+                rows = _reduced(rows)
+                step = max(1, (16 << 20) // (8 * width))
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, width, dtype=np.int32)), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_pydict(
+                        {entity: pa.array([name] * len(part), names_type), "fold": pa.array([fold] * len(part), pa.int64()), "row": lists}
+                    )
+            held.clear()
 
-        names_type = pa.string()
         for batch in batches:
             names_type = batch.schema.field(0).type
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_features)
-            y = batch.column(3).to_numpy(zero_copy_only=False)
+            names, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lengths = pc.list_value_length(batch.column(2)).to_pylist()
+            odd = next((k for k, n in enumerate(lengths) if n != n_features), None)
+            if odd is not None:
+                raise ValueError(f"{entity} {names[odd]!r}: a row has {lengths[odd]} features, not {n_features}")
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, n_features)
+            y = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
+            bad = ~(np.isfinite(x).all(axis=1) & np.isfinite(y))
+            if bad.any():
+                at = int(bad.argmax())
+                where = "target" if not np.isfinite(y[at]) else f"feature {int((~np.isfinite(x[at])).argmax())}"
+                raise ValueError(f"{entity} {names[at]!r}: {where} is missing or not finite")
             rows = np.column_stack([np.ones(batch.num_rows), x, y])
-            keys = pd.MultiIndex.from_arrays([batch.column(0).to_pandas(), batch.column(1).to_pandas()])
-            codes, groups = pd.factorize(keys)
-            for code, (name, fold) in enumerate(groups):
+            codes, groups = pd.factorize(pd.MultiIndex.from_arrays([names, folds]))
+            for code, key in enumerate(groups):
                 block = rows[codes == code]
-                key = (name, int(fold))
-                if key not in sums and len(sums) >= limit:
-                    yield from flush()
-                sums[key] = sums.get(key, 0.0) + block.T @ block
+                before = held.get(key)
+                held[key] = block if before is None else np.vstack([before, block])
+                if len(held[key]) > 2 * width:
+                    held[key] = _reduced(held[key])
+            if sum(v.nbytes for v in held.values()) > _BUFFER_BYTES:
+                yield from flush()
         yield from flush()
 
-    narrow = train.select(entity, F.col("fold").cast("bigint").alias("fold"), features, F.col(target).cast("double"))
-    if n_features > _SORT_ABOVE:
-        narrow = narrow.sortWithinPartitions(entity, "fold")
-    schema = f"`{entity}` {kind}, fold bigint, i int, cells array<double>"
-    return (
-        narrow.mapInArrow(partial, schema)
-        .select(entity, "fold", "i", F.posexplode("cells").alias("__k", "v"))
-        .withColumn("j", (F.col("i") + F.col("__k")).cast("int"))
-        .groupBy(entity, "fold", "i", "j")
-        .agg(F.sum("v").alias("v"))
-    )
+    fold = F.coalesce(F.col("fold"), F.lit(-1)).cast("bigint").alias("fold") if "fold" in train.columns else F.lit(-1).cast("bigint").alias("fold")
+    narrow = train.select(entity, fold, features, F.col(target).cast("double"))
+    schema = f"`{entity}` {kind}, fold bigint, row array<double>"
+    found = narrow.mapInArrow(partial, schema)
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        rows = _reduced(np.vstack(part["row"].to_list()))
+        return pd.DataFrame({entity: [part[entity].iloc[0]] * len(rows), "fold": part["fold"].iloc[0], "row": list(rows)})
+
+    salted = found.withColumn("__salt", F.spark_partition_id() % _SALTS)
+    return salted.groupBy(entity, "fold", "__salt").applyInPandas(merge, schema).groupBy(entity, "fold").applyInPandas(merge, schema)
+
+
+class _Standard:
+    """Moments of all rows of an entity, from its factors, and factors in standardised features."""
+
+    def __init__(self, rows: np.ndarray):
+        ones = rows[:, 0]
+        self.n = float(ones @ ones)
+        self.mean = ones @ rows[:, 1:-1] / self.n
+        variance = ((rows[:, 1:-1] - np.outer(ones, self.mean)) ** 2).sum(axis=0) / self.n
+        eps = np.finfo(float).eps
+        noise = self.n * eps * variance + (self.n * self.mean * eps) ** 2
+        self.scale = np.where(variance <= noise, 1.0, np.sqrt(variance))
+
+    def apply(self, rows: np.ndarray) -> np.ndarray:
+        out = rows.copy()
+        out[:, 1:-1] = (rows[:, 1:-1] - np.outer(rows[:, 0], self.mean)) / self.scale
+        return out
+
+
+def scaler_of(factors: DataFrame, entity: str) -> DataFrame:
+    """``(entity, pos, mean, scale)`` of the rows behind the factors; the rows themselves are not read again."""
+    kind = dict(factors.dtypes)[entity]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        own = _Standard(np.vstack(part["row"].to_list()))
+        return pd.DataFrame({entity: part[entity].iloc[0], "pos": np.arange(len(own.mean)), "mean": own.mean, "scale": own.scale})
 
+    return factors.groupBy(entity).applyInPandas(run, f"`{entity}` {kind}, pos int, mean double, scale double")
 
-def _matrix(cells: pd.DataFrame, width: int) -> np.ndarray:
-    """Symmetric matrix from its upper cells."""
-    full = np.zeros((width, width))
-    full[cells["i"], cells["j"]] = cells["v"]
-    full[cells["j"], cells["i"]] = cells["v"]
-    return full
 
+def _centred(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Centred features and target in factor rows, divided by the root of the number of rows; feature means, target mean."""
+    ones = rows[:, 0]
+    n = float(ones @ ones)
+    x_mean, y_mean = ones @ rows[:, 1:-1] / n, float(ones @ rows[:, -1] / n)
+    return (rows[:, 1:-1] - np.outer(ones, x_mean)) / np.sqrt(n), (rows[:, -1] - ones * y_mean) / np.sqrt(n), x_mean, y_mean
 
-def _centred(products: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Covariances of the features and with the target, feature means, target mean."""
-    n = products[0, 0]
-    means = products[0] / n
-    covariance = products / n - np.outer(means, means)
-    return covariance[1:-1, 1:-1], covariance[1:-1, -1], means[1:-1], means[-1]
 
+class _Gram:
+    """Products of the columns of ``x`` that a search has ever held active, added as they are asked for."""
 
-def _descend(hessian: np.ndarray, moment: np.ndarray, lasso: float, w: np.ndarray) -> np.ndarray:
-    """Minimise ``w'Hw/2 - m'w + lasso*|w|_1`` from a start: feature-sign search (Lee et al., 2006).
+    def __init__(self, x: np.ndarray):
+        self.x, self.columns, self.place, self.cells = x, [], {}, np.zeros((64, 64))
+
+    def block(self, wanted: np.ndarray) -> np.ndarray:
+        new = [j for j in wanted.tolist() if j not in self.place]
+        if new:
+            old, size = len(self.columns), len(self.columns) + len(new)
+            if size > len(self.cells):
+                wider = np.zeros((2 * size, 2 * size))
+                wider[:old, :old] = self.cells[:old, :old]
+                self.cells = wider
+            self.place.update((j, old + k) for k, j in enumerate(new))
+            self.columns += new
+            part = self.x[:, self.columns].T @ self.x[:, new]
+            self.cells[:size, old:size] = part
+            self.cells[old:size, :size] = part.T
+        at = [self.place[j] for j in wanted.tolist()]
+        return self.cells[np.ix_(at, at)]
+
+
+def _descend(x: np.ndarray, gram: _Gram, places: np.ndarray, ridge: float, moment: np.ndarray, lasso: float, w: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """Minimise ``w'Hw/2 - m'w + lasso*|w|_1``, ``H = x'x + ridge``, over some columns, from a start: feature-sign search (Lee et al., 2006).
 
     Adds the coordinate that breaks its optimality condition most, solves for the
     active coordinates with their signs held, and stops at the best sign change on
-    the way. Each step lowers the objective, so the search ends at the optimum.
+    the way. Each step lowers the objective, so the search ends at the optimum. Returns the weights, the steps and whether
+    the conditions hold within the tolerance.
     """
     tolerance = _TOLERANCE * max(1.0, float(np.abs(moment).max(initial=0.0)))
     signs = np.sign(w)
-    for _ in range(MAX_SWEEPS):
-        slope = hessian @ w - moment
+    for step_no in range(MAX_SWEEPS):
+        chosen = np.flatnonzero(w)
+        slope = x.T @ (x[:, chosen] @ w[chosen]) + ridge * w - moment
+        if not np.isfinite(slope).all():
+            return w, step_no, False
         active = signs != 0
         settled = not active.any() or np.abs(slope + lasso * signs)[active].max() <= tolerance
         if settled:
             excess = np.where(active, -np.inf, np.abs(slope) - lasso)
             worst = int(excess.argmax()) if len(w) else 0
             if not len(w) or excess[worst] <= tolerance:
-                break
+                return w, step_no, True
             signs[worst] = -np.sign(slope[worst])
         chosen = np.flatnonzero(signs)
-        block = hessian[np.ix_(chosen, chosen)]
+        block = gram.block(places[chosen]) + ridge * np.eye(len(chosen))
         right = moment[chosen] - lasso * signs[chosen]
         try:
             goal = np.linalg.solve(block, right)
@@ -158,56 +221,78 @@ def _descend(hessian: np.ndarray, moment: np.ndarray, lasso: float, w: np.ndarra
         w = w.copy()
         w[chosen] = paths[:, int(values.argmin())]
         signs = np.sign(w)
-    else:
-        warnings.warn("Elastic net did not reach its tolerance", stacklevel=2)
-    return w
+    return w, MAX_SWEEPS, False
 
 
-def solve(gram: np.ndarray, moment: np.ndarray, alphas: np.ndarray, l1_ratio: float) -> np.ndarray:
-    """Solutions along a descending list of penalties, each started from the one before; a column per alpha."""
+def solve(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, l1_ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Solutions along a descending list of penalties, each started from the one before.
+
+    Of each penalty only features that the sequential strong rule (Tibshirani et al., 2012) keeps are searched; then the
+    optimality condition of **all** features is checked, and those that break it join until none does. Returns the weights
+    (a column per penalty), steps and whether each is optimal.
+    """
+    moment = x.T @ y
     weights = np.zeros((len(moment), len(alphas)))
-    w = np.zeros(len(moment))
+    steps, fine = np.zeros(len(alphas), np.int64), np.zeros(len(alphas), bool)
+    w, gram = np.zeros(len(moment)), _Gram(x)
     # A pure lasso on dependent features has many solutions; the floor picks one of least norm.
-    floor = _RIDGE_FLOOR * float(np.diag(gram).max(initial=1.0))
+    floor = _RIDGE_FLOOR * float(np.einsum("ij,ij->j", x, x).max(initial=1.0))
+    tolerance = _TOLERANCE * max(1.0, float(np.abs(moment).max(initial=0.0)))
+    last = float(np.abs(moment).max(initial=0.0))
+    pull = moment
     for k, alpha in enumerate(alphas):
-        hessian = gram + max(alpha * (1 - l1_ratio), floor) * np.eye(len(moment))
-        w = _descend(hessian, moment, alpha * l1_ratio, w)
-        weights[:, k] = w
-    return weights
+        lasso, ridge = alpha * l1_ratio, max(alpha * (1 - l1_ratio), floor)
+        kept = (w != 0) | (np.abs(pull) >= 2 * lasso - last)
+        while True:
+            places = np.flatnonzero(kept)
+            found, more, good = _descend(x[:, places], gram, places, ridge, moment[places], lasso, w[places])
+            w = np.zeros(len(moment))
+            w[places] = found
+            steps[k] += more
+            active = np.flatnonzero(w)
+            pull = moment - x.T @ (x[:, active] @ w[active])
+            broken = ~kept & (np.abs(pull) > lasso + tolerance)
+            if not broken.any() or not good:
+                break
+            kept |= broken
+        weights[:, k], fine[k], last = w, good, lasso
+    return weights, steps, fine
 
 
-def cross_validate(products: DataFrame, entity: str, n_features: int, grid: DataFrame) -> DataFrame:
-    """``(entity, l1_ratio, alpha, fold, mse)``: held-out error for every grid point and fold.
+def cross_validate(factors: DataFrame, entity: str, l1_ratios: list[float] | None = None, n_alphas: int = N_ALPHAS) -> DataFrame:
+    """``(entity, l1_ratio, alpha, fold, mse, sweeps, converged)``: held-out error for every grid point and fold.
 
-    One group per (entity, l1 ratio). Its input are the products, so it is bounded by
-    the number of features and does not grow with the rows. The number of tasks is
-    stated, since AQE would judge these small but slow groups by their bytes.
+    One group per (entity, l1 ratio); its input are the factors, bounded by the features and not by the rows. The
+    penalties are in the function, not in the rows. The number of tasks is stated, since AQE would judge these small but slow
+    groups by their bytes.
     """
-    width = n_features + 2
-    tasks = 4 * products.sparkSession.sparkContext.defaultParallelism
-    path = grid.groupBy(entity, "l1_ratio").agg(F.sort_array(F.collect_list("alpha"), asc=False).alias("alphas"))
-    work = products.join(path, entity).repartition(tasks, entity, "l1_ratio")
-
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        name, ratio = cells[entity].iloc[0], float(cells["l1_ratio"].iloc[0])
-        alphas = np.asarray(cells["alphas"].iloc[0], dtype=float)
-        by_fold = {int(fold): _matrix(part, width) for fold, part in cells.groupby("fold")}
-        total = sum(by_fold.values())
+    spark = factors.sparkSession
+    ship_package(spark)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    ratios = F.array(*[F.lit(float(r)) for r in (l1_ratios or L1_RATIOS)])
+    work = factors.withColumn("l1_ratio", F.explode(ratios)).repartition(tasks, entity, "l1_ratio")
+    alphas = np.sort(np.asarray(alpha_values(n_alphas)))[::-1]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        name, ratio = part[entity].iloc[0], float(part["l1_ratio"].iloc[0])
+        raw = {int(fold): np.vstack(rows["row"].to_list()) for fold, rows in part.groupby("fold")}
+        standard = _Standard(np.vstack(list(raw.values())))
+        by_fold = {fold: standard.apply(rows) for fold, rows in raw.items()}
         out = []
         for fold, held in by_fold.items():
-            rest = total - held
-            if rest[0, 0] < 1 or held[0, 0] < 1:
+            rest = [rows for other, rows in by_fold.items() if other != fold]
+            n_held = float(held[:, 0] @ held[:, 0])
+            if not rest or n_held < 0.5:
                 continue
-            gram, moment, x_mean, y_mean = _centred(rest)
-            weights = solve(gram, moment, alphas, ratio)
-            residual = np.vstack([-(y_mean - x_mean @ weights), -weights, np.ones(len(alphas))])
-            squares = np.einsum("ia,ij,ja->a", residual, held, residual, optimize=True)
-            out.append(pd.DataFrame({"alpha": alphas, "fold": fold, "mse": squares / held[0, 0]}))
-        result = pd.concat(out) if out else pd.DataFrame({"alpha": [], "fold": [], "mse": []})
-        return result.assign(**{entity: name, "l1_ratio": ratio})[[entity, "l1_ratio", "alpha", "fold", "mse"]]
-
-    kind = dict(products.dtypes)[entity]
-    schema = f"`{entity}` {kind}, l1_ratio double, alpha double, fold bigint, mse double"
+            x, y, x_mean, y_mean = _centred(_reduced(np.vstack(rest)))
+            weights, steps, fine = solve(x, y, alphas, ratio)
+            error = held[:, -1:] - held[:, 1:-1] @ weights - held[:, :1] * (y_mean - x_mean @ weights)
+            out.append(pd.DataFrame({"alpha": alphas, "fold": fold, "mse": (error**2).sum(axis=0) / n_held, "sweeps": steps, "converged": fine}))
+        result = pd.concat(out) if out else pd.DataFrame({"alpha": [], "fold": [], "mse": [], "sweeps": [], "converged": []})
+        return result.assign(**{entity: name, "l1_ratio": ratio})[[entity, "l1_ratio", "alpha", "fold", "mse", "sweeps", "converged"]]
+
+    kind = dict(factors.dtypes)[entity]
+    schema = f"`{entity}` {kind}, l1_ratio double, alpha double, fold bigint, mse double, sweeps bigint, converged boolean"
     return work.groupBy(entity, "l1_ratio").applyInPandas(run, schema)
 
 
@@ -218,59 +303,41 @@ def select_penalty(errors: DataFrame, entity: str) -> DataFrame:
     return means.groupBy(entity).agg(best).select(entity, "b.l1_ratio", "b.alpha", "b.mean_mse")
 
 
-def fit(products: DataFrame, penalties: DataFrame, entity: str, n_features: int) -> DataFrame:
-    """``(entity, l1_ratio, alpha, intercept, coefficients)`` on all training rows, one row per penalty."""
-    width = n_features + 2
-    totals = products.groupBy(entity, "i", "j").agg(F.sum("v").alias("v"))
-    work = totals.join(penalties.select(entity, "l1_ratio", "alpha"), entity)
+def fit(factors: DataFrame, penalties: DataFrame, entity: str) -> DataFrame:
+    """``(entity, l1_ratio, alpha, intercept, coefficients, sweeps, converged)`` on all training rows, a row per penalty.
 
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        ratio, alpha = float(cells["l1_ratio"].iloc[0]), float(cells["alpha"].iloc[0])
-        gram, moment, x_mean, y_mean = _centred(_matrix(cells, width))
-        weights = solve(gram, moment, np.array([alpha]), ratio)[:, 0]
+    Coefficients are those of standardised features.
+    """
+    ship_package(factors.sparkSession)
+    work = factors.join(penalties.select(entity, "l1_ratio", "alpha"), entity)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ratio, alpha = float(part["l1_ratio"].iloc[0]), float(part["alpha"].iloc[0])
+        rows = np.vstack(part["row"].to_list())
+        x, y, x_mean, y_mean = _centred(_reduced(_Standard(rows).apply(rows)))
+        weights, steps, fine = solve(x, y, np.array([alpha]), ratio)
         return pd.DataFrame(
             {
-                entity: [cells[entity].iloc[0]],
+                entity: [part[entity].iloc[0]],
                 "l1_ratio": [ratio],
                 "alpha": [alpha],
-                "intercept": [float(y_mean - x_mean @ weights)],
-                "coefficients": [weights],
+                "intercept": [float(y_mean - x_mean @ weights[:, 0])],
+                "coefficients": [weights[:, 0]],
+                "sweeps": [int(steps[0])],
+                "converged": [bool(fine[0])],
             }
         )
 
-    kind = dict(products.dtypes)[entity]
-    schema = f"`{entity}` {kind}, l1_ratio double, alpha double, intercept double, coefficients array<double>"
+    kind = dict(factors.dtypes)[entity]
+    schema = f"`{entity}` {kind}, l1_ratio double, alpha double, intercept double, coefficients array<double>, sweeps bigint, converged boolean"
     return work.groupBy(entity, "l1_ratio", "alpha").applyInPandas(run, schema)
 
 
-def fit_one_distributed(
-    train: DataFrame,
-    l1_ratio: float,
-    alpha: float,
-    features: str = "features",
-    target: str = "ln_ic50",
-    max_iter: int = 1000,
-    tol: float = 1e-10,
-) -> DataFrame:
-    """One entity of any width and length with MLlib: ``(l1_ratio, alpha, intercept, coefficients)``.
-
-    MLlib divides the label by its sample deviation, so the penalty is mapped:
-    the absolute part is unchanged, the squared part is multiplied by it.
-    """
-    deviation = train.agg(F.stddev_samp(target)).first()[0] or 1.0
-    lasso, ridge = alpha * l1_ratio, alpha * (1 - l1_ratio) * deviation
-    strength = lasso + ridge
-    model = LinearRegression(
-        featuresCol="__x",
-        labelCol=target,
-        regParam=strength,
-        elasticNetParam=lasso / strength if strength > 0 else 0.0,
-        standardization=False,
-        solver="l-bfgs",
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(train.select(array_to_vector(features).alias("__x"), target))
-    row = [(float(l1_ratio), float(alpha), float(model.intercept), [float(v) for v in model.coefficients.toArray()])]
-    return train.sparkSession.createDataFrame(
-        row, "l1_ratio double, alpha double, intercept double, coefficients array<double>"
+def raw_model(model: DataFrame, scaler: DataFrame, entity: str) -> DataFrame:
+    """The model in raw features: scales and means folded into ``coefficients`` and ``intercept``."""
+    long = model.select(entity, "l1_ratio", "alpha", "intercept", F.posexplode("coefficients").alias("pos", "w")).join(scaler, [entity, "pos"])
+    slope = F.col("w") / F.col("scale")
+    folded = long.groupBy(entity, "l1_ratio", "alpha").agg(
+        F.first("intercept").alias("b"), F.sum(slope * F.col("mean")).alias("shift"), F.sort_array(F.collect_list(F.struct("pos", slope.alias("w")))).alias("p")
     )
+    return folded.select(entity, "l1_ratio", "alpha", (F.col("b") - F.col("shift")).alias("intercept"), F.col("p.w").alias("coefficients"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.constants import CV_FOLDS, SEED, TEST_FRACTION
-from dosewise.operators import elasticnet, scale, score, split
+from dosewise.operators import elasticnet, score, split
 from dosewise.session import materialise
 
 
@@ -20,6 +20,7 @@ class Training:
     scaler: DataFrame
     errors: DataFrame
     model: DataFrame
+    raw: DataFrame
     predictions: DataFrame
     metrics: DataFrame
 
@@ -40,8 +41,9 @@ def train_all(
     The scaler sees the whole training part before the folds are cut, like the
     procedure this follows. Rows without an entity name have no model. ``dataset``
     should be a stored table, as it is read several times. What is read twice along
-    the way (cut points, moments, products, errors) is written to the workspace;
-    none of it grows with the rows.
+    the way (cut points, factors, scaler, errors, models) is written to the workspace. A missing
+    or non-finite feature or target, or a row of another length, raises with the entity's name before anything is fitted;
+    ``errors`` and ``model`` tell for each fit whether it met its optimality conditions. ``raw`` scores raw features.
     """
     named = dataset.where(F.col(entity).isNotNull())
     keys = [group_col] if group_col else list(row_cols)
@@ -49,16 +51,12 @@ def train_all(
         split.split_points(named, entity, keys, seed, test_fraction, folds, distinct_keys=group_col is not None)
     )
     rows = split.assign_split(named, entity, list(row_cols), seed, test_fraction, folds, group_col, points)
-    train = rows.where("split = 'train'")
-    scaler = materialise(scale.fit_scaler(train, entity))
-    scaled = scale.apply_scaler(rows, scaler, entity)
-    products = materialise(
-        elasticnet.fold_products(scaled.where("split = 'train'"), entity, n_features, target=target)
-    )
-    grid = elasticnet.penalty_grid(scaler, entity)
-    errors = materialise(elasticnet.cross_validate(products, entity, n_features, grid))
+    factors = materialise(elasticnet.fold_factors(rows.where("split = 'train'"), entity, n_features, target=target))
+    scaler = materialise(elasticnet.scaler_of(factors, entity))
+    errors = materialise(elasticnet.cross_validate(factors, entity))
     penalties = elasticnet.select_penalty(errors, entity)
-    model = materialise(elasticnet.fit(products, penalties, entity, n_features))
-    predictions = score.predict(scaled.where("split = 'test'"), model, entity)
+    model = materialise(elasticnet.fit(factors, penalties, entity))
+    raw = materialise(elasticnet.raw_model(model, scaler, entity))
+    predictions = score.predict(rows.where("split = 'test'"), raw, entity)
     metrics = score.evaluate(predictions, entity, target)
-    return Training(rows, scaler, errors, model, predictions, metrics)
+    return Training(rows, scaler, errors, model, raw, predictions, metrics)

@@ -36,54 +36,67 @@ def data(spark):
     return frame(spark, {"hot": 400, "small": 40, "tiny": 12}, 15).cache()
 
 
-def test_products_equal_direct_products(data):
-    products = elasticnet.fold_products(data, "drug_slug", 15)
-    cells = products.where("drug_slug = 'hot' AND fold = 2").toPandas()
+def test_factors_have_the_products_of_the_rows(data):
+    factors = elasticnet.fold_factors(data, "drug_slug", 15)
+    found = np.array([r["row"] for r in factors.where("drug_slug = 'hot' AND fold = 2").collect()])
     x, y, fold = arrays(data, "hot")
     rows = np.column_stack([np.ones(len(y)), x, y])[fold == 2]
-    got = np.zeros((17, 17))
-    got[cells["i"], cells["j"]] = cells["v"]
-    assert np.allclose(got, np.triu(rows.T @ rows))
+    assert len(found) <= 17
+    assert np.allclose(found.T @ found, rows.T @ rows)
+    scaler = elasticnet.scaler_of(factors, "drug_slug").where("drug_slug = 'hot'").orderBy("pos").collect()
+    assert np.allclose([r["mean"] for r in scaler], x.mean(0)) and np.allclose([r["scale"] for r in scaler], x.std(0))
+
+
+def standard(x):
+    return (x - x.mean(0)) / x.std(0)
 
 
 @pytest.mark.parametrize("ratio, alpha", [(0.1, 0.3), (0.5, 0.05), (0.9, 0.001), (1.0, 0.01), (0.5, 5.0)])
 def test_fits_are_optimal(spark, data, ratio, alpha):
-    products = elasticnet.fold_products(data, "drug_slug", 15)
+    factors = elasticnet.fold_factors(data, "drug_slug", 15)
     penalties = data.select("drug_slug").distinct().select("drug_slug", F.lit(ratio).alias("l1_ratio"), F.lit(alpha).alias("alpha"))
-    for m in elasticnet.fit(products, penalties, "drug_slug", 15).collect():
+    for m in elasticnet.fit(factors, penalties, "drug_slug").collect():
         x, y, _ = arrays(data, m.drug_slug)
-        assert kkt_gap(x, y, np.array(m.coefficients), m.intercept, alpha, ratio) < 1e-8
+        assert m.converged
+        assert kkt_gap(standard(x), y, np.array(m.coefficients), m.intercept, alpha, ratio) < 1e-8
 
 
 def test_cross_validation_equals_refitting_every_fold(data):
-    products = elasticnet.fold_products(data, "drug_slug", 15)
-    grid = elasticnet.penalty_grid(data, "drug_slug")
-    errors = elasticnet.cross_validate(products, "drug_slug", 15, grid).toPandas()
-    assert len(errors) == 3 * 3 * 50 * 5
+    factors = elasticnet.fold_factors(data, "drug_slug", 15)
+    errors = elasticnet.cross_validate(factors, "drug_slug").toPandas()
+    assert len(errors) == 3 * 3 * 50 * 5 and errors.converged.all()
     x, y, fold = arrays(data, "small")
+    x = standard(x)
     some = errors[(errors.drug_slug == "small")].iloc[::97]
     for row in some.itertuples():
         tr, te = fold != row.fold, fold == row.fold
         xc, yc = x[tr] - x[tr].mean(0), y[tr] - y[tr].mean()
-        w = elasticnet.solve(xc.T @ xc / tr.sum(), xc.T @ yc / tr.sum(), np.array([row.alpha]), row.l1_ratio)[:, 0]
+        root = np.sqrt(tr.sum())
+        w = elasticnet.solve(xc / root, yc / root, np.array([row.alpha]), row.l1_ratio)[0][:, 0]
         b = y[tr].mean() - x[tr].mean(0) @ w
         assert kkt_gap(x[tr], y[tr], w, b, row.alpha, row.l1_ratio) < 1e-8
         assert row.mse == pytest.approx(np.mean((y[te] - x[te] @ w - b) ** 2), rel=1e-8)
 
 
-def test_distributed_fit_agrees(spark, data):
-    hot = data.where("drug_slug = 'hot'")
-    products = elasticnet.fold_products(hot, "drug_slug", 15)
-    penalties = hot.select("drug_slug").distinct().select("drug_slug", F.lit(0.5).alias("l1_ratio"), F.lit(0.1).alias("alpha"))
-    exact = elasticnet.fit(products, penalties, "drug_slug", 15).first()
-    other = elasticnet.fit_one_distributed(hot, 0.5, 0.1).first()
-    assert np.allclose(exact.coefficients, other.coefficients, atol=1e-5)
-    assert other.intercept == pytest.approx(exact.intercept, abs=1e-5)
-
-
-def test_too_many_features_for_products(data):
-    with pytest.raises(ValueError, match="fit_"):
-        elasticnet.fold_products(data, "drug_slug", elasticnet.MAX_GRAM_FEATURES + 1)
+def test_as_wide_as_an_expression_matrix(spark):
+    df = frame(spark, {"wide": 60}, 19215, seed=3, signal=5)
+    factors = elasticnet.fold_factors(df, "drug_slug", 19215)
+    penalties = df.select("drug_slug").distinct().select("drug_slug", F.lit(0.1).alias("l1_ratio"), F.lit(0.5).alias("alpha"))
+    m = elasticnet.fit(factors, penalties, "drug_slug").first()
+    x, y, _ = arrays(df, "wide")
+    w = np.array(m.coefficients)
+    assert m.converged and len(w) == 19215 and (w != 0).sum() > 60
+    assert kkt_gap(standard(x), y, w, m.intercept, 0.5, 0.1) < 1e-8
+    few = elasticnet.cross_validate(factors, "drug_slug", [0.5], n_alphas=4).toPandas()
+    assert len(few) == 20 and few.converged.all()
+
+
+@pytest.mark.parametrize("bad", [[1.0, None], [1.0, float("nan")], [1.0], None])
+def test_bad_features_raise_at_once(spark, bad):
+    rows = [("e", 1, [1.0, 2.0], 1.0), ("e", 2, bad, 2.0)]
+    df = spark.createDataFrame(rows, "drug_slug string, fold bigint, features array<double>, ln_ic50 double")
+    with pytest.raises(Exception, match="drug_slug 'e'"):
+        elasticnet.fold_factors(df, "drug_slug", 2).collect()
 
 
 def test_select_penalty_ties(spark):
