@@ -155,15 +155,15 @@ def _feature_select(t: Inputs) -> DataFrame:
     return features.select_features(t.table("part").select(F.expr(_FEATURE_NAME)))
 
 
-# Feature lists of two matrices: all parts, and the parts that were ever sold at a high discount.
-_RIGHT_SQL = "SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 40"
+# Feature lists of two matrices: all parts, and the parts that were ever sold.
+_RIGHT_SQL = "SELECT DISTINCT l_partkey FROM lineitem"
 
 
 def _sides(t: Inputs) -> tuple[DataFrame, DataFrame]:
     left = t.table("part").select(
         F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("feature")
     )
-    sold = t.table("lineitem").where("l_discount >= 0.1 AND l_quantity >= 40").select("l_partkey").distinct()
+    sold = t.table("lineitem").select("l_partkey").distinct()
     right = left.join(sold, F.col("pos") == F.col("l_partkey"), "left_semi").select("feature")
     return left, right
 

@@ -260,14 +260,56 @@ def _cv(t: Inputs) -> DataFrame:
     return rounded(rounded(errors, 6, "mse"), 9, "alpha")
 
 
-@query("elasticnet_model")
+MODEL_SQL = f"""{CV_SQL},
+sel AS MATERIALIZED (SELECT drug_slug, l1_ratio, alpha FROM (
+  SELECT *, row_number() OVER (PARTITION BY drug_slug ORDER BY mean_mse, l1_ratio, alpha DESC) AS nth FROM (
+    SELECT drug_slug, l1_ratio, alpha, avg(mse) AS mean_mse FROM (
+      SELECT m.drug_slug, m.l1_ratio, m.alpha, m.fold, avg(pow(h.y - m.b - list_dot_product(h.x, m.w), 2)) AS mse
+      FROM best m JOIN held h ON h.drug_slug = m.drug_slug AND h.fold = m.fold GROUP BY ALL) GROUP BY ALL)) WHERE nth = 1),
+all_lin AS MATERIALIZED (SELECT drug_slug, j, sum(n) AS n, sum(sz) AS sz, sum(sy) AS sy, sum(szy) AS szy FROM lin GROUP BY ALL),
+all_g AS MATERIALIZED (SELECT drug_slug, list(r ORDER BY j) AS gram, max(total) AS top FROM
+  (SELECT drug_slug, j, list(v ORDER BY k) AS r, sum(abs(v)) AS total FROM
+    (SELECT p.drug_slug, p.j, p.k, p.s / x.n - x.sz / x.n * (y.sz / y.n) AS v
+     FROM (SELECT drug_slug, j, k, sum(s) AS s FROM prod GROUP BY ALL) p
+     JOIN all_lin x ON x.drug_slug = p.drug_slug AND x.j = p.j JOIN all_lin y ON y.drug_slug = p.drug_slug AND y.j = p.k)
+   GROUP BY ALL) GROUP BY drug_slug),
+all_c AS MATERIALIZED (SELECT drug_slug, list(szy / n - sz / n * (sy / n) ORDER BY j) AS slope, list(sz / n ORDER BY j) AS x_mean, max(sy / n) AS y_mean
+  FROM all_lin GROUP BY ALL),
+refit AS (
+  SELECT drug_slug, 0 AS step, [CAST(0 AS DOUBLE) for m in slope] AS w FROM all_c
+  UNION ALL
+  SELECT drug_slug, step + 1, [sign(u) * greatest(abs(u) - alpha * l1_ratio / top, 0) / (1 + alpha * (1 - l1_ratio) / top) for u in u]
+  FROM (SELECT f.drug_slug, f.step, g.top, s.alpha, s.l1_ratio,
+          [f.w[i] - (list_dot_product(g.gram[i], f.w) - c.slope[i]) / g.top for i in range(1, len(f.w) + 1)] AS u
+        FROM refit f JOIN all_g g USING (drug_slug) JOIN all_c c USING (drug_slug) JOIN sel s USING (drug_slug) WHERE f.step < 2000)),
+chosen AS (SELECT f.drug_slug, s.l1_ratio, s.alpha, f.w, c.y_mean - list_dot_product(f.w, c.x_mean) AS b
+  FROM refit f JOIN all_c c USING (drug_slug) JOIN sel s USING (drug_slug) WHERE f.step = 2000),
+weights AS (SELECT drug_slug, l1_ratio, alpha, b, CASE WHEN abs(w) < 5e-6 THEN CAST(0 AS DOUBLE) ELSE w END AS w, j FROM
+  (SELECT drug_slug, l1_ratio, alpha, b, unnest(w) AS w, unnest(range(len(w))) AS j FROM chosen))"""
+
+
+@query(
+    "elasticnet_model",
+    f"""WITH {MODEL_SQL} SELECT drug_slug, l1_ratio, round(alpha, 9) AS alpha, round(b, 4) AS intercept, CAST(j AS BIGINT) AS pos,
+  round(w, 4) + 0.0 AS coefficient FROM weights""",
+    ("z",),
+)
 def _model(t: Inputs) -> DataFrame:
     model = _train(t).model.select(
         ENTITY, "l1_ratio", "alpha", "intercept", F.posexplode("coefficients").alias("pos", "coefficient")
     )
-    return rounded(model, 6, "intercept", "coefficient")
+    model = model.withColumn("pos", F.col("pos").cast("bigint"))
+    # adding zero turns -0.0 into 0.0
+    return rounded(rounded(model, 4, "intercept", "coefficient"), 9, "alpha").withColumn("coefficient", F.col("coefficient") + F.lit(0.0))
 
 
-@query("trained_metrics")
+@query(
+    "trained_metrics",
+    f"""WITH {MODEL_SQL}, tested AS (SELECT z.drug_slug, z.assay_id, z.depmap_model_id, min(z.ln_ic50) AS y, sum(z.z * k.w) + min(k.b) AS prediction
+  FROM z JOIN weights k ON k.drug_slug = z.drug_slug AND k.j = z.j WHERE z.split = 'test' GROUP BY ALL)
+SELECT drug_slug, count(*) AS n, round(sqrt(avg(pow(y - prediction, 2))), 4) AS rmse,
+  round(1 - sum(pow(y - prediction, 2)) / (var_pop(y) * count(*)), 4) AS r2 FROM tested GROUP BY drug_slug""",
+    ("z",),
+)
 def _trained_metrics(t: Inputs) -> DataFrame:
-    return rounded(_train(t).metrics.select(ENTITY, "n", "rmse", "r2"), 6, "rmse", "r2")
+    return rounded(_train(t).metrics.select(ENTITY, "n", "rmse", "r2"), 4, "rmse", "r2")

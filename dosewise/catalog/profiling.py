@@ -57,11 +57,12 @@ def _missing_top(t: Inputs) -> DataFrame:
 
 @query(
     "duplicate_rows",
-    """SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) AS BIGINT)
-  AS n_duplicate_rows FROM lineitem""",
+    """WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 7 = 0)
+SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS BIGINT) AS n_duplicate_rows FROM twice""",
 )
 def _duplicates(t: Inputs) -> DataFrame:
-    return profile.duplicate_rows(t.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    lines = t.table("lineitem")
+    return profile.duplicate_rows(lines.union(lines.where("l_orderkey % 7 = 0")))
 
 
 @query("column_candidates", _MATCH_SQL, ("cat",))

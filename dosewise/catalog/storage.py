@@ -44,12 +44,13 @@ def _tsv(t: Inputs) -> DataFrame:
 
 @query(
     "documents_csv_roundtrip",
-    "SELECT doc_id, text, lang FROM documents",
+    "SELECT doc_id, text, lang, source, n_chars FROM documents",
 )
 def _documents_csv(t: Inputs) -> DataFrame:
     path = f"{workspace(t.spark)}/documents.csv"
-    writers.write_table(t.table("documents").select("doc_id", "text", "lang"), path)
-    return readers.read_table(t.spark, path, schema="doc_id bigint, text string, lang string", multiline=True)
+    documents = t.table("documents")
+    writers.write_table(documents, path)
+    return readers.read_table(t.spark, path, schema=documents.schema, multiline=True)
 
 
 @query(

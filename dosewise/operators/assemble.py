@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.functions.numbers import to_number
-from dosewise.functions.text import clean_id, entity_key, slug, usable_id
+from dosewise.functions.text import clean_id, entity_key, file_slug, slug, usable_id
 
 
 def entity_filter(df: DataFrame, entity: str, name: str) -> DataFrame:
@@ -38,6 +38,19 @@ def standardise_bridge(metadata: DataFrame, model: str = "model_id", sample: str
     return bridge.where(usable_id(F.col("cosmic_id")))
 
 
+def storage_names(df: DataFrame, entity: str = "drug_name") -> DataFrame:
+    """``(drug_key, storage_name, n_keys)``: entities by trimmed, case-folded name, and a name of its own for each on disk.
+
+    The slug alone would pool names that differ in signs only; where several keys share one, the start of the key's hash is
+    appended. ``n_keys`` counts the keys of a slug. One row per entity.
+    """
+    keys = df.select(entity_key(F.col(entity)).alias("drug_key")).where("drug_key IS NOT NULL").distinct()
+    named = keys.withColumn("__slug", file_slug(F.col("drug_key")))
+    shared = named.groupBy("__slug").agg(F.count("*").alias("n_keys"))
+    own = F.concat("__slug", F.lit("_"), F.left(F.sha2("drug_key", 256), F.lit(8)))
+    return named.join(shared, "__slug").select("drug_key", F.when(F.col("n_keys") > 1, own).otherwise(F.col("__slug")).alias("storage_name"), "n_keys")
+
+
 def bridge_join(expression: DataFrame, metadata: DataFrame, model: str = "model_id") -> DataFrame:
     """Every expression row with its metadata; a missing model id matches a missing one.
 
@@ -89,7 +102,10 @@ def stage_counts(
         .agg(F.sum("__rows").alias("__matches"))
     )
     usable = usable_id(F.col("cosmic_id"))
-    rows = response.join(fan_out, "cosmic_id", "left")
+    # rows without a usable id match nothing, so they do not travel to the join
+    with_id = response.where(usable).join(fan_out, "cosmic_id", "left").select("drug_slug", "cosmic_id", "ln_ic50", "__matches")
+    without = response.where(~F.coalesce(usable, F.lit(False))).select("drug_slug", "cosmic_id", "ln_ic50", F.lit(0).cast("bigint").alias("__matches"))
+    rows = with_id.unionByName(without)
     matches = F.coalesce("__matches", F.lit(0))
     counts = rows.groupBy("drug_slug").agg(
         F.count("*").alias("n_entity_rows"),

@@ -35,3 +35,21 @@ def restrict_features(matrix: DataFrame, positions: DataFrame, features: str = "
     return matrix.select(*keep, F.col(features).alias("__all"), wanted.scalar().alias("__kept")).select(
         *keep, F.transform("__kept", lambda i: F.get("__all", i)).alias(features)
     )
+
+
+def shared_matrices(
+    left: DataFrame, left_names: DataFrame, right: DataFrame, right_names: DataFrame, features: str = "features"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both matrices cut down to the features they share, in the left side's order, and ``(pos, feature)`` of that order."""
+    both = left_names.select(F.col("pos").alias("__l"), "feature").join(right_names.select(F.col("pos").alias("__r"), "feature"), "feature")
+    order = both.agg(F.sort_array(F.collect_list(F.struct("__l", "__r", "feature"))).alias("__p"))
+
+    def cut(matrix: DataFrame, side: str) -> DataFrame:
+        keep = [c for c in matrix.columns if c != features]
+        wanted = order.select(F.col(f"__p.{side}"))
+        return matrix.select(*keep, F.col(features).alias("__all"), wanted.scalar().alias("__kept")).select(
+            *keep, F.transform("__kept", lambda i: F.get("__all", i)).alias(features)
+        )
+
+    names = order.select(F.posexplode("__p.feature").alias("pos", "feature"))
+    return cut(left, "__l"), cut(right, "__r"), names

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +14,8 @@ from dosewise.functions.numbers import to_number
 from dosewise.functions.text import decode_missing, strip_blank
 
 _SEPARATORS = {".csv": ",", ".tsv": "\t"}
-_MAX_COLUMNS = 65536
+#: Default of the widest text table that ``read_table`` takes; a parameter there.
+MAX_COLUMNS = 65536
 
 
 def read_table(
@@ -24,6 +26,7 @@ def read_table(
     infer: bool = False,
     multiline: bool = False,
     suffixes: tuple[str, ...] = (".csv", ".tsv", ".parquet"),
+    max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """Read a table by the suffix of its path.
 
@@ -47,7 +50,7 @@ def read_table(
             enforceSchema=False,
             quote='"',
             escape='"',
-            maxColumns=_MAX_COLUMNS,
+            maxColumns=max_columns,
             multiLine=multiline,
         )
     except AnalysisException as error:
@@ -84,30 +87,46 @@ def read_metadata(spark: SparkSession, path: str, schema: T.StructType | str | N
     return read_table(spark, path, "metadata", schema, suffixes=(".csv",))
 
 
+def split_cells(line: Column) -> Column:
+    """Cells of a CSV line: commas inside double quotes do not part, quotes are taken off, doubled ones become one.
+
+    A comma is put in front, so that every match of the pattern begins with one; possessive repeats keep it linear.
+    """
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), F.lit(1))
+    quoted = lambda c: F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) > 1)
+    return F.transform(raw, lambda c: F.when(quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def read_expression_csv(spark: SparkSession, path: str, id_name: str, id_alias: str = "model_id") -> tuple[DataFrame, DataFrame]:
     """Wide expression CSV to ``(id, features ARRAY<DOUBLE>)`` plus ``(pos, feature)``.
 
-    The lines are split as text, so that tens of thousands of gene columns never
-    become columns of a plan. Only the header line reaches the driver.
+    Lines are read whole and split by one expression, so that tens of thousands of gene columns never become columns of a
+    plan; only the header line reaches the driver. Quoted cells and headers are understood, line breaks inside quotes are
+    not. Each file's first line is its header. A line with more or fewer cells than the header raises with its beginning.
     """
     if os.path.splitext(path.rstrip("/"))[1].lower() != ".csv":
         raise ValueError(f"The expression matrix must be a .csv path, got: {path}")
-    lines = spark.read.text(path)
-    first = lines.first()
+    first = spark.read.text(path).first()
     if first is None:
         raise ValueError("Expression table is empty")
-    header = first["value"]
-    if '"' in header:
-        raise ValueError("Quoted headers: read with read_table() and pack_features() instead")
-    names = header.split(",")
+    names = next(csv.reader([first["value"]]))
+    if id_name not in names:
+        raise ValueError(f"The expression table has no column {id_name!r}")
     id_pos = names.index(id_name)
-    body = lines.where(F.col("value") != header).select(F.split("value", ",", -1).alias("cells"))
+    # no separator and no quote: a line is one column, and Spark leaves out each file's header
+    lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", header=True, enforceSchema=True, maxCharsPerColumn=-1)
+    cells = split_cells(F.col("value"))
+    checked = lines.select("value", cells.alias("found")).select(
+        F.when(F.size("found") == len(names), F.col("found"))
+        .otherwise(F.raise_error(F.format_string(f"a line has %d cells, its header {len(names)}: %s", F.size("found"), F.left("value", F.lit(60)))))
+        .alias("cells")
+    )
     values = F.filter(F.col("cells"), lambda _, i: i != id_pos)
-    matrix = body.select(
+    matrix = checked.select(
         decode_missing(F.col("cells")[id_pos]).alias(id_alias),
         F.transform(values, lambda cell: to_number(cell)).alias("features"),
     )
-    kept = [name for name in names if name != id_name]
+    kept = [name for at, name in enumerate(names) if at != id_pos]
     return require_rows(matrix, "expression"), feature_positions(spark, kept)
 
 
@@ -152,3 +171,11 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
     reader = spark.read if schema is None else spark.read.schema(schema)
     records = reader.json(path, multiLine=multi, mode="FAILFAST")
     return records
+
+
+MODEL_SCHEMA = "l1_ratio double, alpha double, intercept double, coefficients array<double>, features array<string>, target string"
+
+
+def read_models(spark: SparkSession, path: str, entity: str = "drug_slug", kind: str = "string") -> DataFrame:
+    """Stored models, a row per entity."""
+    return spark.read.schema(f"`{entity}` {kind}, {MODEL_SCHEMA}").parquet(path)

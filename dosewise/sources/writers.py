@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dosewise.constants import FALLBACK_SLUG
+
 
 def write_entity_dataset(df: DataFrame, path: str, entity: str = "drug_slug", mode: str = "overwrite") -> None:
     """Parquet, one directory per entity.
 
     The rebalance step groups rows by entity for few files, and lets AQE cut an
     entity that holds much of the data into several write tasks. Only the
-    entities at hand are overwritten.
+    entities at hand are overwritten. An empty name would come back as NULL; it is
+    stored as the fallback name.
     """
+    kept = df if dict(df.dtypes)[entity] != "string" else df.withColumn(entity, F.when(F.col(entity) == "", FALLBACK_SLUG).otherwise(F.col(entity)))
     (
-        df.hint("rebalance", F.col(entity))
+        kept.hint("rebalance", F.col(entity))
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(entity)
@@ -47,3 +51,13 @@ def write_gene_list(df: DataFrame, path: str, symbol: str = "symbol", order: lis
     if order:
         symbols = symbols.orderBy(*order)
     symbols.select(F.col(symbol).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_models(raw: DataFrame, names: DataFrame, target: str, path: str, entity: str = "drug_slug") -> None:
+    """Models in raw features with everything that scoring needs: intercept, penalty, feature order and target's name.
+
+    ``names`` (``pos, feature``) is a header, so it becomes one array that every row holds.
+    """
+    order = names.agg(F.sort_array(F.collect_list(F.struct("pos", "feature"))).alias("p")).select("p.feature")
+    stored = raw.select(entity, "l1_ratio", "alpha", "intercept", "coefficients", order.scalar().alias("features"), F.lit(target).alias("target"))
+    stored.write.mode("overwrite").parquet(path)

@@ -71,3 +71,43 @@ def test_gene_list_and_records(spark, folder):
         f.write("not json")
     with pytest.raises(Exception):
         readers.read_records(spark, f"{folder}/bad.json").collect()
+
+
+def test_wide_expression_quotes_and_ragged_rows(spark, folder):
+    with open(f"{folder}/q.csv", "w") as f:
+        f.write('"Model, ID","G1, a",G2\n"ACH,1","1.5",2\n"say ""hi""",,NA\nModel,3,4\n')
+    matrix, names = readers.read_expression_csv(spark, f"{folder}/q.csv", "Model, ID")
+    assert sorted(tuple(r) for r in matrix.collect()) == [("ACH,1", [1.5, 2.0]), ("Model", [3.0, 4.0]), ('say "hi"', [None, None])]
+    assert [r["feature"] for r in names.orderBy("pos").collect()] == ["G1, a", "G2"]
+    with open(f"{folder}/r.csv", "w") as f:
+        f.write("ModelID,G1,G2\nm1,1,2\nm2,1\n")
+    with pytest.raises(Exception, match="a line has 2 cells"):
+        readers.read_expression_csv(spark, f"{folder}/r.csv", "ModelID")[0].collect()
+
+
+def test_an_empty_name_survives_storage(spark, folder):
+    path = f"{folder}/slugs"
+    writers.write_entity_dataset(spark.createDataFrame([("", 1), (None, 2)], "drug_slug string, v int"), path)
+    back = readers.read_entity_dataset(spark, path, "v int, drug_slug string")
+    assert sorted((r["v"], r["drug_slug"]) for r in back.collect()) == [(1, "drug"), (2, None)]
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from dosewise.operators import elasticnet
+rows = [("e", k % 2, [float(k), float(k * k % 7)], float(k)) for k in range(20)]
+df = spark.createDataFrame(rows, "drug_slug string, fold bigint, features array<double>, ln_ic50 double")
+print("ROWS", elasticnet.fold_factors(df, "drug_slug", 2).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 8" in done.stdout, done.stderr[-2000:]
