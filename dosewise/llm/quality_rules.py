@@ -27,7 +27,7 @@ TRAIN_DOCS = 2000
 #: Lines of a training document that enter the fit at most; the verdict always looks at whole texts.
 TRAIN_LINES = 200
 CONTENT_SHARE = 0.5
-FEATURES = ("one", "symbols", "exclamations", "upper", "digits", "bars", "repeated", "few_words", "long_words", "mid_symbols")
+FEATURES = ("one", "symbols", "exclamations", "upper", "digits", "bars", "repeated", "few_words", "long_words", "mid_symbols", "stutter")
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,7 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
                 1.0 if n < 4 else 0.0,
                 1.0 if size / n > 20 else 0.0,
                 1.0 if symbols / n > 0.3 else 0.0,
+                sum(map(bytes.__eq__, words, words[1:])) / n,
             )
         )
         sizes.append(n)
