@@ -166,34 +166,38 @@ def fit(chains: list[np.ndarray], bad: list[bool], rounds: int = 4, steps: int =
     chains, bad = zip(*[(c, b) for c, b in zip(chains, bad, strict=True) if len(c)], strict=True) if any(map(len, chains)) else ((), ())
     if not chains or all(bad) or not any(bad):
         return Crf(np.zeros((width, 2)), np.zeros((2, 2)))  # nothing to tell apart: everything is content
-    length = max(map(len, chains))
-    x, mask = np.zeros((len(chains), length, width)), np.zeros((len(chains), length), bool)
+    # chains of like length are padded together
+    groups: dict[int, list[int]] = {}
     for n, chain in enumerate(chains):
-        x[n, : len(chain)], mask[n, : len(chain)] = chain, True
-    is_bad = np.array(bad)
-    y = np.where(is_bad[:, None], 1.0, 0.0) * mask
-    crf = Crf(np.zeros((width, 2)), np.zeros((2, 2)))
+        groups.setdefault((len(chain) - 1).bit_length(), []).append(n)
+    batches = []
+    for members in groups.values():
+        length = max(len(chains[n]) for n in members)
+        x, mask = np.zeros((len(members), length, width)), np.zeros((len(members), length), bool)
+        for k, n in enumerate(members):
+            x[k, : len(chains[n])], mask[k, : len(chains[n])] = chains[n], True
+        is_bad = np.array([bad[n] for n in members])
+        batches.append((x, mask, is_bad, np.where(is_bad[:, None], 1.0, 0.0) * mask))
+    n_lines = sum(mask.sum() for _, mask, _, _ in batches)
     for turn in range(rounds):
         weights, pairs = np.zeros((width, 2)), np.zeros((2, 2))
-        speed_w, speed_p, n_lines = np.zeros_like(weights), np.zeros_like(pairs), mask.sum()
+        speed_w, speed_p = np.zeros_like(weights), np.zeros_like(pairs)
         for step in range(1, steps + 1):
-            d_weights, d_pairs = _likelihood(weights, pairs, x, mask, y)
-            d_weights, d_pairs = d_weights / n_lines - 1e-4 * weights, d_pairs / n_lines - 1e-3 * pairs
+            slopes = [_likelihood(weights, pairs, x, mask, y) for x, mask, _, y in batches]
+            d_weights = sum(w for w, _ in slopes) / n_lines - 1e-4 * weights
+            d_pairs = sum(p for _, p in slopes) / n_lines - 1e-3 * pairs
             speed_w, speed_p = 0.9 * speed_w + 0.1 * d_weights**2, 0.9 * speed_p + 0.1 * d_pairs**2
             rate = 0.3 / (1 + step / 20)
             weights = weights + rate * d_weights / (np.sqrt(speed_w) + 1e-6)
             pairs = pairs + rate * d_pairs / (np.sqrt(speed_p) + 1e-6)
-        crf = Crf(weights, pairs)
         if turn + 1 == rounds:
             break
-        margin = x @ (weights[:, 1] - weights[:, 0])
-        for n in np.flatnonzero(is_bad):
-            own = np.zeros(length)
-            size = len(chains[n])
-            own[:size] = margin[n, :size] > 0
-            own[int(np.argmax(margin[n, :size]))] = 1.0
-            y[n] = own
-    return crf
+        for x, mask, is_bad, y in batches:
+            margin = np.where(mask, x @ (weights[:, 1] - weights[:, 0]), -np.inf)
+            own = (margin > 0).astype(float)
+            own[np.arange(len(own)), margin.argmax(axis=1)] = 1.0
+            y[is_bad] = own[is_bad]
+    return Crf(weights, pairs)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
