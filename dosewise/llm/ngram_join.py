@@ -7,7 +7,8 @@ parity sketches (a bit flipped per shingle: differing bits never outnumber diffe
 
 The overlap of a pair is counted by vertical partitioning: the order is cut into fragments by the leading bits of the hash,
 every set into a segment per fragment, the partial overlaps are counted fragment by fragment and summed per pair. The first
-fragment alone rules out most pairs, as its difference already exceeds what the whole pair may differ by.
+fragment alone rules out most pairs, as its difference already exceeds what the whole pair may differ by; it is kept beside the
+prefixes for that, so that few texts have to be read again.
 
 Only components are wanted, so not all links are listed: equal sets are one node; each prefix list is first compared with one
 of its members alone, and after the components of these links only pairs of different components are compared. A skipped
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -31,6 +32,8 @@ SHINGLE = 3
 #: Similarity in percent.
 PERCENT = 90
 FRAGMENTS = 8
+#: Sizes of sets up to which a sketch of 256 bits can tell differences.
+SKETCHED = 600
 #: Shingles counted at once in a task, and the sum from which a shingle counts as frequent.
 COUNT_STEP, FREQUENT = 4_000_000, 24
 #: Entries of the table of frequent shingles that is sent to all tasks (16 bytes each): the most frequent ones. It only
@@ -52,13 +55,13 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def sets(rows: DataFrame, width: int) -> DataFrame:
     """Two kinds of rows of one pass: ``doc, n, s1, s2`` (size and 128-bit digest of a document's set), and ``s1, n`` with
-    ``kind`` 1: shingles found twice or more among a few million neighbours in the input, and how often."""
+    ``kind`` 1: shingles found three times or more among a few million neighbours in the input, and how often."""
     schema_text = "kind int, doc bigint, n bigint, s1 bigint, s2 bigint"
     schema = arrow_schema(rows.sparkSession, schema_text)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(held), return_counts=True)
-        found, counts = found[counts > 1], counts[counts > 1]
+        found, counts = found[counts > 2], counts[counts > 2]
         none = pa.nulls(len(found), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), none, pa.array(counts), pa.array(_signed(found)), none], schema=schema)
 
@@ -84,8 +87,10 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, schema_text)
 
 
-def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int) -> DataFrame:
-    """Per document ``doc, n``, its sketch (four longs) and the prefix of its set in the global order."""
+def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int, fragments: int) -> DataFrame:
+    """Per document ``doc, n``, its sketch (four longs), the first fragment's shingles cut to 32 bits, and the prefix of its set
+    in the global order. A sketch says nothing of a large set and is left 0 there. Cut shingles may agree by chance, which can
+    only make a difference look smaller, so they rule out no link."""
     table = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
@@ -102,13 +107,15 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
                 often = np.zeros(n, np.int64)
             # own is ascending, so a stable sort by count orders by count and then by hash
             prefix = own[np.argsort(often, kind="stable")[:size]]
-            bits = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
+            some = own if n <= SKETCHED else own[:0]
+            bits = np.bincount((some & np.uint64(255)).astype(np.int64), minlength=256) & 1
             sketch = _signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)).tolist()
-            return doc, n, *sketch, _signed(prefix).tolist()
+            part = own[: np.searchsorted(own, np.uint64((1 << 64) // fragments))]
+            return doc, n, *sketch, (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), _signed(prefix).tolist()
 
         return row
 
-    return map_rows(rows, "doc bigint, n bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, prefix array<bigint>", make)
+    return map_rows(rows, "doc bigint, n bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, part array<int>, prefix array<bigint>", make)
 
 
 def segments(rows: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -142,25 +149,25 @@ def _possible(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND ({bits}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
 
 
+def possible_by_part(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs ``a, b`` that the first fragment's difference alone does not rule out."""
+    x = described.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    y = described.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    difference = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    both = pairs.distinct().join(x, "a").join(y, "b")
+    return both.where(difference * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs ``a, b`` that are links, by partial overlaps per fragment."""
+    """The pairs ``a, b`` that are links: partial overlaps are counted fragment by fragment and summed per pair."""
     pairs = materialise(pairs)
     ids = materialise(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
     cut = materialise(segments(rows.join(ids, "doc", "left_semi"), width, fragments))
     x = cut.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
     y = cut.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("nb"), F.col("segment").alias("sb"))
-    allowed = (F.col("na") + F.col("nb")) * (100 - percent)
-
-    def partial(wanted: DataFrame, which) -> DataFrame:
-        one = wanted.join(x.where(which), "a").join(y.where(which), ["b", "fragment"])
-        return one.select("a", "b", "na", "nb", "fragment", (F.size("sa") + F.size("sb")).alias("sizes"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-
-    first = partial(pairs, F.col("fragment") == 0).where((F.col("sizes") - 2 * F.col("common")) * (100 + percent) <= allowed)
-    first = materialise(first.select("a", "b", "na", "nb", F.col("common").alias("first")))
-    rest = partial(first.select("a", "b"), F.col("fragment") > 0).groupBy("a", "b").agg(F.sum("common").alias("rest"))
-    common = F.col("first") + F.coalesce("rest", F.lit(0))
-    links = first.join(rest, ["a", "b"], "left").where(100 * common >= percent * (F.col("na") + F.col("nb") - common))
-    return materialise(links.select("a", "b"))
+    partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return materialise(sums.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct())
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
@@ -181,33 +188,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     order = np.argsort(hot)
     frequent = (hot[order], top["times"].to_numpy(np.int64)[order])
 
-    of_node = nodes.select(F.col("node").alias("doc"))
-    described = materialise(prefixes(rows, frequent, width, percent).join(of_node, "doc", "left_semi").dropDuplicates(["doc"]))
+    described = materialise(prefixes(rows, frequent, width, percent, fragments))
+    traits = described.drop("prefix", "part")
+    by_shingle = Window.partitionBy("shingle")
     posts = described.select("doc", F.explode("prefix").alias("shingle"))
-    lists = posts.groupBy("shingle").agg(F.count("*").alias("size"), F.min("doc").alias("leader")).where("size > 1")
-    shared = materialise(posts.join(lists.select("shingle", "leader"), "shingle"))
-    traits = described.drop("prefix")
-    members = materialise(shared.join(traits, "doc"))
+    shared = posts.withColumn("leader", F.min("doc").over(by_shingle)).withColumn("last", F.max("doc").over(by_shingle)).where("leader <> last")
+    # copies leave here; a list's lowest document is no copy, as what it copies has the same prefix and a lower id
+    members = materialise(shared.drop("last").join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").join(traits, "doc"))
 
     star = (
         members.where("doc <> leader")
-        .select("doc", "leader", "n", "k1", "k2", "k3", "k4")
+        .drop("shingle")
         .distinct()
         .alias("x")
         .join(traits.alias("y"), F.expr(f"x.leader = y.doc AND {_possible(percent)}"))
         .select(F.col("x.leader").alias("a"), F.col("x.doc").alias("b"))
     )
-    links = verified(star, rows, width, percent, fragments)
+    links = verified(possible_by_part(star, described, percent), rows, width, percent, fragments)
     labels = components(links)
     labelled = members.drop("leader").join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    labelled = materialise(labelled)
     cross = (
         labelled.alias("x")
         .join(labelled.alias("y"), F.expr(f"x.shingle = y.shingle AND x.doc < y.doc AND x.component <> y.component AND {_possible(percent)}"))
         .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         .distinct()
     )
-    more = verified(cross, rows, width, percent, fragments)
+    more = verified(possible_by_part(cross, described, percent), rows, width, percent, fragments)
     final = components(links.union(more))
     by_set = nodes.join(final.withColumnRenamed("id", "node"), "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
     out = own.join(by_set, ["n", "s1", "s2"], "left")
