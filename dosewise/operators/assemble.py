@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosewise.functions.numbers import to_number
 from dosewise.functions.text import clean_id, entity_key, file_slug, slug, usable_id
+from dosewise.operators import quality
 
 
 def entity_filter(df: DataFrame, entity: str, name: str) -> DataFrame:
@@ -138,3 +139,17 @@ def clean_targets(df: DataFrame, target: str) -> DataFrame:
     """Numeric target in place of the raw one; rows without a number are dropped."""
     numeric: Column = to_number(F.col(target))
     return df.withColumn(target, numeric).where(F.col(target).isNotNull())
+
+
+def checked_align(features: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """:func:`align` after the id contracts: both sides have rows, ids are present and unique, and both hold the same ids."""
+    quality.enforce(
+        quality.not_empty(features, "features_not_empty"),
+        quality.not_empty(target, "target_not_empty"),
+        quality.id_not_null(features, key, "features_id_not_null"),
+        quality.id_not_null(target, key, "target_id_not_null"),
+        quality.id_unique(features, [key], "features_id_unique"),
+        quality.id_unique(target, [key], "target_id_unique"),
+        quality.id_set_equal(features, target, key),
+    )
+    return align(features, target, key)

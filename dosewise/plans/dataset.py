@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dosewise.constants import (
     EXACT_NAMES,
@@ -57,3 +58,24 @@ def build_dataset(
     if min_samples is None:
         return rows
     return assemble.eligible_rows(rows, assemble.stage_counts(standard, bridge, expression, min_samples))
+
+
+def detected_dataset(
+    response: DataFrame,
+    metadata: DataFrame,
+    expression: DataFrame,
+    row_id: str,
+    min_samples: int | None = None,
+    features: str = "features",
+) -> DataFrame:
+    """:func:`build_dataset` on tables as they come: the columns' roles are detected from their names first."""
+    own, side, wide = response_columns(response), metadata_columns(metadata), expression_id_column(expression)
+    named = response.select(
+        F.col(f"`{row_id}`").alias("assay_id"),
+        F.col(f"`{own['drug_name']}`").alias("drug_name"),
+        F.col(f"`{own['cosmic_id']}`").alias("cosmic_raw"),
+        F.col(f"`{own['ln_ic50']}`").alias("ln_ic50_raw"),
+    )
+    bridge = metadata.select(F.col(f"`{side['model_id']}`").alias("model_id"), F.col(f"`{side['cosmic_id']}`").alias("cosmic_raw"))
+    matrix = expression.select(F.col(f"`{wide}`").alias("model_id"), F.col(f"`{features}`").alias("features"))
+    return build_dataset(named, bridge, matrix, min_samples)
