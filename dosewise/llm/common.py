@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -80,10 +79,6 @@ def free_name(taken: list[str], wish: str) -> str:
     return name
 
 
-def ddl_name(name: str) -> str:
-    return name if re.fullmatch(r"\w+", name) else quoted(name)
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)`` (long ids, undirected) as ``(id, component)``.
 
