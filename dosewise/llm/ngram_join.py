@@ -35,7 +35,7 @@ FRAGMENTS = 8
 #: Sizes of sets up to which a sketch of 256 bits can tell differences.
 SKETCHED = 600
 #: Shingles counted at once in a task, and the sum from which a shingle counts as frequent.
-COUNT_STEP, FREQUENT = 4_000_000, 24
+COUNT_STEP, FREQUENT = 4_000_000, 8
 #: Entries of the table of frequent shingles that is sent to all tasks (16 bytes each): the most frequent ones. It only
 #: orders shingles, so its bound has no influence on the result.
 FREQUENT_ENTRIES = 1 << 20
@@ -190,11 +190,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     described = materialise(prefixes(rows, frequent, width, percent, fragments))
     traits = described.drop("prefix", "part")
-    by_shingle = Window.partitionBy("shingle")
-    posts = described.select("doc", F.explode("prefix").alias("shingle"))
-    shared = posts.withColumn("leader", F.min("doc").over(by_shingle)).withColumn("last", F.max("doc").over(by_shingle)).where("leader <> last")
+    by_shingle, by_size = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("n")
+    posts = described.select("doc", "n", F.explode("prefix").alias("shingle"))
+    shared = (
+        posts.withColumn("below", F.lag("n").over(by_size))
+        .withColumn("above", F.lead("n").over(by_size))
+        .withColumn("leader", F.min("doc").over(by_shingle))
+        .withColumn("last", F.max("doc").over(by_shingle))
+        # in a list ordered by size, a set that fits neither neighbour's size fits none
+        .where(f"leader <> last AND (100 * below >= {percent} * n OR 100 * n >= {percent} * above)")
+        .select("doc", "shingle", "leader")
+    )
     # copies leave here; a list's lowest document is no copy, as what it copies has the same prefix and a lower id
-    members = materialise(shared.drop("last").join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").join(traits, "doc"))
+    members = materialise(shared.join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").join(traits, "doc"))
 
     star = (
         members.where("doc <> leader")
