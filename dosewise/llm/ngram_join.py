@@ -36,7 +36,7 @@ FRAGMENTS = 8
 SKETCHED = 600
 #: Shingles counted at once in a task, and the sum from which a shingle counts as frequent.
 COUNT_STEP, FREQUENT = 4_000_000, 8
-#: Entries of the table of frequent shingles that is sent to all tasks (16 bytes each): the most frequent ones. It only
+#: Entries of the table of frequent shingles that is sent to all tasks (16 bytes each), at most: the most frequent ones. It only
 #: orders shingles, so its bound has no influence on the result.
 FREQUENT_ENTRIES = 1 << 20
 
@@ -183,7 +183,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     own = found.where("kind = 0").select("doc", "n", "s1", "s2")
     nodes = materialise(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("node")).where("node is not null"))
     counts = found.where("kind = 1").groupBy(F.col("s1").alias("shingle")).agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
-    top = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT_ENTRIES).toPandas()
+    counts = materialise(counts)
+    # the lowest level of frequency from which the entries fit the table; levels are few, so their sizes are all that is read first
+    level = F.floor(4 * F.log2("times"))
+    sizes = sorted(((r["level"], r["size"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("size")).collect()), reverse=True)
+    fitting = [at for at, total in zip((x for x, _ in sizes), np.cumsum([n for _, n in sizes]).tolist()) if total <= FREQUENT_ENTRIES]
+    top = counts.where(level >= (min(fitting) if fitting else 1 << 20)).toPandas()
     hot = top["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
     frequent = (hot[order], top["times"].to_numpy(np.int64)[order])
