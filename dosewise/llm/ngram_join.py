@@ -89,7 +89,7 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
 
 def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int, fragments: int) -> DataFrame:
     """Per document ``doc, n``, its sketch (four longs), the first fragment's shingles cut to 32 bits, and the prefix of its set
-    in the global order. A sketch says nothing of a large set and is left 0 there. Cut shingles may agree by chance, which can
+    in the global order. A sketch says nothing of a large set and is left 0 there, so it is compared with no other. Cut shingles may agree by chance, which can
     only make a difference look smaller, so they rule out no link."""
     table = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -144,9 +144,10 @@ def segments(rows: DataFrame, width: int, fragments: int) -> DataFrame:
 
 def _possible(percent: int) -> str:
     """Sizes and sketches of ``x`` and ``y`` allow the similarity. A difference d and sizes m, n: overlap (m + n - d) / 2,
-    union (m + n + d) / 2, so d (100 + p) <= (m + n) (100 - p)."""
+    union (m + n + d) / 2, so d (100 + p) <= (m + n) (100 - p). Sketches count where both sets have one."""
     bits = " + ".join(f"bit_count(x.k{i} ^ y.k{i})" for i in range(1, 5))
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND ({bits}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+    sketched = f"greatest(x.n, y.n) > {SKETCHED} OR ({bits}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND ({sketched})"
 
 
 def possible_by_part(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:

@@ -89,6 +89,22 @@ def test_ngram_join(corpus, monkeypatch):
     assert ngram_join.join(corpus([])).count() == 0
 
 
+def test_ngram_join_on_both_sides_of_the_sketch_limit(corpus):
+    chance = random.Random(17)
+    words = [f"w{k}" for k in range(3000)]
+    limit, rows = ngram_join.SKETCHED, []
+    for size in (limit + 2, limit + 2, limit - 30, limit + 40):
+        base = [chance.choice(words) for _ in range(size)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, "more"])), (len(rows) + 2, " ".join(base[:-45]))]
+        changed = list(base) + ["x"] * 8
+        for _ in range(chance.randint(2, 12)):
+            changed[chance.randrange(size)] = chance.choice(words)
+        rows.append((len(rows), " ".join(changed)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(corpus(rows)).collect()}
+    assert got == brute_components(rows)
+    assert got[0][0] == limit and got[1] == (limit + 1, 0)
+
+
 def test_components(spark):
     chance = random.Random(1)
     links = [(k, k + 1) for k in range(0, 40)] + [(chance.randrange(100, 160), chance.randrange(100, 160)) for _ in range(40)] + [(7, 7)]
