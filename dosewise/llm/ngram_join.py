@@ -49,6 +49,13 @@ def _set(text: bytes, width: int) -> np.ndarray:
     return shingle_set(word_hashes(text.translate(ASCII_LOWER)), width)
 
 
+def _digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two signed numbers."""
+    s1 = mix(own + np.uint64(1)).sum(dtype=np.uint64)
+    s2 = np.bitwise_xor.reduce(mix(own ^ np.uint64(0xA5A5A5A5)), initial=np.uint64(0))
+    return tuple(_signed(np.array([s1, s2], np.uint64)).tolist())
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -71,9 +78,7 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _set(text, width)
-                s1 = int(_signed(np.array([mix(own + np.uint64(1)).sum(dtype=np.uint64)]))[0])
-                s2 = int(_signed(np.array([np.bitwise_xor.reduce(mix(own ^ np.uint64(0xA5A5A5A5)), initial=np.uint64(0))]))[0])
-                out.append((0, doc, len(own), s1, s2))
+                out.append((0, doc, len(own), *_digest(own)))
                 held.append(own)
                 size += len(own)
                 if size >= COUNT_STEP:
@@ -88,7 +93,7 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int, fragments: int) -> DataFrame:
-    """Per document ``doc, n``, its sketch (four longs), the first fragment's shingles cut to 32 bits, and the prefix of its set
+    """Per row ``doc, n, s1, s2``, its sketch (four longs), the first fragment's shingles cut to 32 bits, and the prefix of its set
     in the global order. A sketch says nothing of a large set and is left 0 there, so it is compared with no other. Cut shingles may agree by chance, which can
     only make a difference look smaller, so they rule out no link."""
     table = rows.sparkSession.sparkContext.broadcast(frequent)
@@ -111,33 +116,34 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
             bits = np.bincount((some & np.uint64(255)).astype(np.int64), minlength=256) & 1
             sketch = _signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)).tolist()
             part = own[: np.searchsorted(own, np.uint64((1 << 64) // fragments))]
-            return doc, n, *sketch, (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), _signed(prefix).tolist()
+            return doc, n, *_digest(own), *sketch, (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), _signed(prefix).tolist()
 
         return row
 
-    return map_rows(rows, "doc bigint, n bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, part array<int>, prefix array<bigint>", make)
+    return map_rows(rows, "doc bigint, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, part array<int>, prefix array<bigint>", make)
 
 
 def segments(rows: DataFrame, width: int, fragments: int) -> DataFrame:
-    """``doc, n, fragment, segment``: each set cut by the leading bits of its hashes."""
-    schema_text = "doc bigint, n bigint, fragment int, segment array<bigint>"
+    """``doc, n, s1, s2, fragment, segment``: each row's set cut by the leading bits of its hashes."""
+    schema_text = "doc bigint, n bigint, s1 bigint, s2 bigint, fragment int, segment array<bigint>"
     schema = arrow_schema(rows.sparkSession, schema_text)
     cuts = np.array([(k << 64) // fragments for k in range(1, fragments)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, sizes, numbers, values, ends = [], [], [], [], [0]
+            traits, numbers, values, ends = [], [], [], [0]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = _set(text, width)
+                digest = _digest(own)
                 for k, part in enumerate(np.split(own, np.searchsorted(own, cuts))):
-                    docs.append(doc)
-                    sizes.append(len(own))
+                    traits.append((doc, len(own), *digest))
                     numbers.append(k)
                     values.append(_signed(part))
                     ends.append(ends[-1] + len(part))
-            if docs:
+            if traits:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int32()), lists.cast(schema.field(3).type)], schema=schema)
+                columns = [pa.array(v, pa.int64()) for v in zip(*traits, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32()), lists.cast(schema.field(5).type)], schema=schema)
 
     return rows.mapInArrow(run, schema_text)
 
@@ -150,22 +156,42 @@ def _possible(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND ({sketched})"
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (distinct sets ``n, s1, s2`` and their lowest document) with a number ``key`` of each set's own: a hash of the
+    three, with the first seed that gives no two sets the same."""
+    count = nodes.count()
+    for seed in range(64):
+        keyed = materialise(nodes.withColumn("key", F.xxhash64(F.lit(seed), "n", "s1", "s2")))
+        if keyed.select("key").distinct().count() == count:
+            return keyed
+    raise RuntimeError("no seed numbers all sets apart")
+
+
+def of_nodes(found: DataFrame, nodes: DataFrame, within: list[str]) -> DataFrame:
+    """The rows of ``found`` that describe a node (its document's own set), once each per ``within``, with its ``key``."""
+    own = ["doc", "n", "s1", "s2"]
+    return found.join(nodes.select(F.col("node").alias("doc"), "n", "s1", "s2", "key"), own).dropDuplicates([*own, *within]).drop("s1", "s2")
+
+
 def possible_by_part(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs ``a, b`` that the first fragment's difference alone does not rule out."""
-    x = described.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = described.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    x = described.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    y = described.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     difference = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
     both = pairs.distinct().join(x, "a").join(y, "b")
     return both.where(difference * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
-    """The pairs ``a, b`` that are links: partial overlaps are counted fragment by fragment and summed per pair."""
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, percent: int, fragments: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes that are links: partial overlaps are counted fragment by fragment and summed per pair. A node
+    has its segments once, however many rows repeat it."""
     pairs = materialise(pairs)
-    ids = materialise(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-    cut = materialise(segments(rows.join(ids, "doc", "left_semi"), width, fragments))
-    x = cut.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
-    y = cut.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("nb"), F.col("segment").alias("sb"))
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = materialise(nodes.join(keys, "key", "left_semi"))
+    cut = segments(rows.join(wanted.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"), width, fragments)
+    cut = materialise(of_nodes(cut, wanted, ["fragment"]))
+    x = cut.select(F.col("key").alias("a"), "fragment", F.col("n").alias("na"), F.col("segment").alias("sa"))
+    y = cut.select(F.col("key").alias("b"), "fragment", F.col("n").alias("nb"), F.col("segment").alias("sb"))
     partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
     sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return materialise(sums.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct())
@@ -175,14 +201,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """``doc_id, n_shingles, component_id`` per row of ``docs``; the component's id is its smallest document id.
 
     Documents link when their sets' similarity is ``percent`` or more. A null or empty text has an empty set and links with
-    nothing; rows that repeat an id and a set give a row each; a row with a null id takes the component of its set, null if no
+    nothing; rows that repeat an id and a set give a row each and count once; an id with several texts has a set, and so a
+    component, for each of them; a row with a null id takes the component of its set, null if no
     id is in it; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     found = materialise(sets(rows, width))
     own = found.where("kind = 0").select("doc", "n", "s1", "s2")
-    nodes = materialise(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("node")).where("node is not null"))
+    nodes = numbered(materialise(own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("node")).where("node is not null")))
     counts = found.where("kind = 1").groupBy(F.col("s1").alias("shingle")).agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
     counts = materialise(counts)
     # the lowest level of frequency from which the entries fit the table; levels are few, so their sizes are all that is read first
@@ -194,41 +221,42 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     order = np.argsort(hot)
     frequent = (hot[order], top["times"].to_numpy(np.int64)[order])
 
-    described = materialise(prefixes(rows, frequent, width, percent, fragments))
-    traits = described.drop("prefix", "part")
+    # copies leave here: a node is described once, by its lowest document
+    described = materialise(of_nodes(prefixes(rows, frequent, width, percent, fragments), nodes, []))
+    traits = described.drop("prefix", "part", "doc")
     by_shingle, by_size = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("n")
-    posts = described.select("doc", "n", F.explode("prefix").alias("shingle"))
+    posts = described.select("doc", "key", "n", F.explode("prefix").alias("shingle"))
     shared = (
         posts.withColumn("below", F.lag("n").over(by_size))
         .withColumn("above", F.lead("n").over(by_size))
-        .withColumn("leader", F.min("doc").over(by_shingle))
-        .withColumn("last", F.max("doc").over(by_shingle))
+        .withColumn("leader", F.min(F.struct("doc", "key")).over(by_shingle)["key"])
+        .withColumn("size", F.count("*").over(by_shingle))
         # in a list ordered by size, a set that fits neither neighbour's size fits none
-        .where(f"leader <> last AND (100 * below >= {percent} * n OR 100 * n >= {percent} * above)")
-        .select("doc", "shingle", "leader")
+        .where(f"size > 1 AND (100 * below >= {percent} * n OR 100 * n >= {percent} * above)")
+        .select("key", "shingle", "leader")
     )
-    # copies leave here; a list's lowest document is no copy, as what it copies has the same prefix and a lower id
-    members = materialise(shared.join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi").join(traits, "doc"))
+    members = materialise(shared.join(traits, "key"))
 
     star = (
-        members.where("doc <> leader")
+        members.where("key <> leader")
         .drop("shingle")
         .distinct()
         .alias("x")
-        .join(traits.alias("y"), F.expr(f"x.leader = y.doc AND {_possible(percent)}"))
-        .select(F.col("x.leader").alias("a"), F.col("x.doc").alias("b"))
+        .join(traits.alias("y"), F.expr(f"x.leader = y.key AND {_possible(percent)}"))
+        .select(F.col("x.leader").alias("a"), F.col("x.key").alias("b"))
     )
-    links = verified(possible_by_part(star, described, percent), rows, width, percent, fragments)
+    links = verified(possible_by_part(star, described, percent), rows, nodes, width, percent, fragments)
     labels = components(links)
-    labelled = members.drop("leader").join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    labelled = members.drop("leader").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     cross = (
         labelled.alias("x")
-        .join(labelled.alias("y"), F.expr(f"x.shingle = y.shingle AND x.doc < y.doc AND x.component <> y.component AND {_possible(percent)}"))
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+        .join(labelled.alias("y"), F.expr(f"x.shingle = y.shingle AND x.key < y.key AND x.component <> y.component AND {_possible(percent)}"))
+        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         .distinct()
     )
-    more = verified(possible_by_part(cross, described, percent), rows, width, percent, fragments)
-    final = components(links.union(more))
-    by_set = nodes.join(final.withColumnRenamed("id", "node"), "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component"))
+    more = verified(possible_by_part(cross, described, percent), rows, nodes, width, percent, fragments)
+    final = materialise(nodes.join(components(links.union(more)).withColumnRenamed("id", "key"), "key"))
+    lowest = final.groupBy("component").agg(F.min("node").alias("lowest"))
+    by_set = nodes.join(final.join(lowest, "component").select("key", "lowest"), "key", "left").select("n", "s1", "s2", F.coalesce("lowest", "node").alias("component"))
     out = own.join(by_set, ["n", "s1", "s2"], "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))

@@ -105,6 +105,20 @@ def test_ngram_join_on_both_sides_of_the_sketch_limit(corpus):
     assert got[0][0] == limit and got[1] == (limit + 1, 0)
 
 
+def test_ngram_join_counts_repeated_rows_once(corpus):
+    chance = random.Random(19)
+    word = lambda: chance.choice("bcdfgklm") + "".join(chance.choice("aeioubcdfgklm") for _ in range(5))
+    base = [word() for _ in range(900)]
+    part = lambda n: " ".join(base[:n] + [word() for _ in range(900 - n)])
+    one, far, near = " ".join(base), part(675), part(880)  # similarities about 0.6 and 0.95
+    other = [word() for _ in range(900)]
+    rows = [(5, one), (5, one), (5, one), (6, far), (6, far), (7, near)]
+    # an id with two texts of equal size: what is near one text is not joined with the other
+    rows += [(20, part(0)), (20, " ".join(other)), (21, " ".join([*other[:890], *[word() for _ in range(10)]])), (2, rows[0][1] + " end"), (22, part(450))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(corpus(rows)).collect())
+    assert got == sorted([(2, 2), (5, 2), (5, 2), (5, 2), (6, 6), (6, 6), (7, 2), (20, 20), (20, 20), (21, 20), (22, 22)])
+
+
 def test_components(spark):
     chance = random.Random(1)
     links = [(k, k + 1) for k in range(0, 40)] + [(chance.randrange(100, 160), chance.randrange(100, 160)) for _ in range(40)] + [(7, 7)]
