@@ -131,6 +131,26 @@ def test_secret_scan(spark, corpus):
     assert secrets.scan(corpus([]), path_col=None).count() == 0
 
 
+def test_secret_scan_keeps_rare_positives_and_unknowns(corpus, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_FINDINGS", 40)
+    token = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    plain = [(1000 + k, f"paid with {4000000000000000 + 7919 * k} in the shop") for k in range(2000)]
+    rows = [(k, f'some text then token = "{token(k)}" and on') for k in range(30)] + plain
+    got = secrets.scan(corpus(rows), path_col=None).collect()
+    assert len(got) == 2030 and all(r["is_secret"] == (r["doc_id"] < 30) for r in got)
+    unknown = secrets.scan(corpus(plain[:20]), path_col=None).collect()
+    assert {(r["probability"], r["is_secret"]) for r in unknown} == {(None, None)}
+
+
+def test_secret_candidates():
+    of = lambda text: [text.encode()[a:b].decode() for a, b, _ in secrets.spans(text.encode())]
+    assert of('é password = "hunter$2 x" and pwd: Tr0ub4dor&3, done') == ["hunter$2 x", "Tr0ub4dor&3"]
+    assert of("postgres://me:s3cr@db and ghp_" + "aBcDeFgHiJkL" * 3) == ["s3cr", "ghp_" + "aBcDeFgHiJkL" * 3]
+    assert of("api_key='abc$0123456789abcdef01'") == ["abc$0123456789abcdef01"]
+    assert secrets.spans(b'token = "0123456789abcdef0123"') == [(9, 29, "run")]
+    assert of("no candidates here, passwords are not assigned") == []
+
+
 def test_chat(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 2, "assistant", None), (1, 1, "user", "a<b>\\l"), (1, 2, "assistant", "é\n</turn>\n<turn:user>"), (None, 0, "human", "x"), (2, None, None, ""), (2, None, None, "")]
