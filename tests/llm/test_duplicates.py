@@ -155,6 +155,28 @@ def test_windows_cover_each_subsequence_once():
                 assert (i, j) not in owner or values[owner[i, j]] == own.min()
 
 
+def test_short_passages_with_a_change_anywhere():
+    chance = np.random.default_rng(5)
+    text = lambda words: compact_windows.tokens(" ".join(map(str, words)).encode())
+    for n in (50, 53, 60, 70):
+        shared = chance.integers(0, 1 << 40, n)
+        for place in range(n):
+            near = shared.copy()
+            near[place] = -1
+            sides = [np.concatenate((chance.integers(0, 1 << 40, 20), x, chance.integers(0, 1 << 40, 15))) for x in (shared, near)]
+            a, b = map(text, sides)
+            own = slice(20, 20 + n - 4)
+            common = len(np.intersect1d(a[own], b[own]))
+            assert common / (2 * (n - 4) - common) >= 0.8
+            for at in range(20, 20 + n - 4):
+                if a[at] == b[at]:
+                    for s, e, t, f, alike in (found := compact_windows.passages(a, b, [(at, at)], 46, 0.8)):
+                        x, y = a[s:e], b[t:f]
+                        assert min(len(x), len(y)) >= 46 and alike == len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8
+                    assert len(found) == 1
+    assert not compact_windows.passages(text(range(60)), text([*range(30), *range(100, 130)]), [(3, 3)], 46, 0.8)
+
+
 def test_compact_windows(corpus):
     chance = random.Random(3)
     word = lambda: "".join(chance.choice("abcdefgh") for _ in range(5))
