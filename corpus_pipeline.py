@@ -58,10 +58,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every document, ids as packed little-endian unsigned 32-bit integers."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every document: ids as packed little-endian unsigned 32-bit integers, and the
+    digest of the text that they give when decoded."""
     prepare(spark)
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids")
+    return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -353,6 +353,26 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return map_rows(encoded.select(encoded[quoted(id_col)].alias("doc_id"), encoded[quoted(ids_col)].alias("ids")), f"doc_id {kind}, text string", make)
 
 
+def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256``: as :func:`encode`, with the digest of the text that the ids give when decoded."""
+
+    def make():
+        coder = encoder(ranks_path, pattern)
+
+        def row(key, text):
+            ids = coder.encode(text.decode("utf-8", "replace"))
+            seen = hashlib.sha256()
+            for part in decode_bytes(StreamDecoder(coder.machine.bytes_of), ids):
+                seen.update(part.encode())
+            return key, len(ids) // 4, ids, seen.hexdigest()
+
+        return row
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens bigint, ids binary, decoded_sha256 string"
+    return map_rows(docs.select(docs[quoted(id_col)].alias("doc_id"), text_bytes(text_col).alias("text")), schema, make)
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
 

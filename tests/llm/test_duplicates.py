@@ -1,5 +1,6 @@
 """Line dedup, n-gram join, compact windows and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -205,6 +206,14 @@ def test_compact_windows(corpus):
     assert compact_windows.find(corpus([])).count() == 0
 
 
+def test_last_stage_decodes(spark, corpus):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "some text, é 漢字\n"), (2, ""), (3, None), (1, "other text")]
+    out = corpus_pipeline.encode(spark, corpus(rows), "").collect()
+    assert sorted((r["doc_id"], r["decoded_sha256"]) for r in out) == sorted((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
+    assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in out)
+
+
 def test_pipeline(spark, tmp_path, corpus):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     chance = random.Random(9)
