@@ -24,8 +24,6 @@ _NOT_CHARACTERS = _SPACE + bytes(range(0x80, 0xC0))  # white space and continuat
 _UPPER, _LOWER, _DIGIT = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)), bytes(range(0x30, 0x3A))
 #: Labelled documents that the training takes at most, half of each label as far as there are.
 TRAIN_DOCS = 2000
-#: Lines of a training document that enter the fit at most; the verdict always looks at whole texts.
-TRAIN_LINES = 200
 CONTENT_SHARE = 0.5
 FEATURES = ("one", "symbols", "exclamations", "upper", "digits", "bars", "repeated", "few_words", "long_words", "mid_symbols", "stutter")
 
@@ -202,7 +200,7 @@ def fit(chains: list[np.ndarray], bad: list[bool], rounds: int = 4, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
     """Fit on at most ``TRAIN_DOCS`` labelled documents, chosen by a hash of their id: half of each label where there are
-    enough. Repeated labels of an id are all used; null ids, labels and texts are left out."""
+    enough. They enter the fit whole. Repeated labels of an id are all used; null ids, labels and texts are left out."""
     wanted = labels.where(F.col(quoted(label_col)).isin(0, 1)).select(F.col(quoted(id_col)).cast("string").alias("key"), F.col(quoted(label_col)).alias("label"))
     picked = None
     for label in (0, 1):
@@ -212,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def make():
         def row(text, label):
-            features = line_features(text)[0][:TRAIN_LINES]
+            features = line_features(text)[0]
             return features.astype("<f8").tobytes(), int(label)
 
         return row

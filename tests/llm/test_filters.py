@@ -83,6 +83,15 @@ def test_quality_rules(spark, corpus):
     assert quality_rules.judge(corpus([]), nothing).count() == 0
 
 
+def test_quality_rules_train_on_whole_documents(spark, corpus, monkeypatch):
+    held = []
+    monkeypatch.setattr(quality_rules, "fit", lambda chains, bad: held.extend(zip(map(len, chains), bad, strict=True)))
+    late = "\n".join(["a line of plain content as any other"] * 300 + ["CLICK HERE ||| NOW!!!"] * 300)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    quality_rules.train(corpus([(1, late), (2, "one\ntwo")]), labels)
+    assert sorted(held) == [(2, False), (600, True)]
+
+
 def test_viterbi_is_the_best_path():
     chance = np.random.default_rng(5)
     for _ in range(50):
