@@ -178,6 +178,14 @@ def test_short_passages_with_a_change_anywhere():
     assert not compact_windows.passages(text(range(60)), text([*range(30), *range(100, 130)]), [(3, 3)], 46, 0.8)
 
 
+def test_contexts_of_windows_are_told_apart():
+    schema = compact_windows.pa.schema([(n, compact_windows.pa.int32() if n in "clr" else compact_windows.pa.int64()) for n in ("key", "doc", "c", "l", "r", "to_right", "to_left")])
+    values = np.random.default_rng(6).integers(1, 1 << 63, 2_000_000, dtype=np.uint64)
+    found = compact_windows._windows_of([values], [1], 46, 1, schema)
+    for side in ("to_right", "to_left"):
+        assert len(found) > 60_000 and len(set(found[side].to_pylist())) == len(found)
+
+
 def test_compact_windows(corpus):
     chance = random.Random(3)
     word = lambda: "".join(chance.choice("abcdefgh") for _ in range(5))
