@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workspace
-from . import bpe, chat, compact_windows, decontaminate, line_dedup, ngram_join, pairwise_quality, quality_rules, secrets, wavelet
+from . import bpe, chat, collocations, compact_windows, decontaminate, divergence, line_dedup, ngram_join, pairwise_quality, quality_rules, secrets, url_filter, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,29 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list is that of the table's own pages whose host holds one of the listed words."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, pages.where(url_filter.listed_host(F.col("url"))), url_filter.RULES)
+
+
+ORACLES["op13_url_filter"] = url_filter.ORACLE
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = divergence.ORACLE
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_mining"] = collocations.ORACLE

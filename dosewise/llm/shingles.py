@@ -59,6 +59,10 @@ def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: A hash per slice of ``data`` between ``starts`` and ``ends``; memory follows the length of ``data``.
+slice_hashes = _hash
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash per window of ``width`` words, in order; none if there are fewer words."""
     n = len(words) - width + 1
