@@ -30,8 +30,10 @@ _TOLERANCE = 1e-10
 _RIDGE_FLOOR = 1e-10
 #: Rounds and passes of the approach to an optimum; what they leave is finished exactly.
 _ROUNDS, _PASSES = 20, 60
+_NEWTON_STEPS, _GLIDES = 40, (30, 100, 300, 1000)
 #: Parts in which the factors of an (entity, fold) are reduced before they meet.
 _SALTS = 16
+_MODEL = ["l1_ratio", "alpha", "intercept", "coefficients", "sweeps", "converged"]
 
 
 def penalty_grid(entities: DataFrame, entity: str, l1_ratios: list[float] | None = None) -> DataFrame:
@@ -47,14 +49,24 @@ def penalty_grid(entities: DataFrame, entity: str, l1_ratios: list[float] | None
     )
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def _reduced(rows: np.ndarray) -> np.ndarray:
     """Rows with the same products, no more of them than columns."""
     return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows
 
 
-def fold_factors(train: DataFrame, entity: str, n_features: int, features: str = "features", target: str = "ln_ic50") -> DataFrame:
+def fold_factors(train: DataFrame, entity: str, n_features: int, features: str = "features", target: str = "ln_ic50", merge: bool | None = None) -> DataFrame:
     """Factors ``(entity, fold, row)`` of the augmented rows ``[1, x, y]``.
 
+    Factors of tasks are merged where an (entity, fold) has more rows than columns, found by a count without the features; where
+    none has, merging would reduce nothing and only move the rows. ``merge`` states it instead.
+
     A missing or non-finite feature or target, or a row of another length, raises with the entity's name in the pass that
     reads the rows anyway. ``fold`` -1 stands for rows without a fold.
     """
@@ -114,6 +126,11 @@ def fold_factors(train: DataFrame, entity: str, n_features: int, features: str =
         rows = _reduced(np.vstack(part["row"].to_list()))
         return pd.DataFrame({entity: [part[entity].iloc[0]] * len(rows), "fold": part["fold"].iloc[0], "row": list(rows)})
 
+    if merge is None:
+        counts = narrow.groupBy(entity, "fold").agg(F.count("*").alias("n"))
+        merge = (counts.agg(F.max("n")).first()[0] or 0) > width
+    if not merge:
+        return found
     salted = found.withColumn("__salt", F.spark_partition_id() % _SALTS)
     return salted.groupBy(entity, "fold", "__salt").applyInPandas(merge, schema).groupBy(entity, "fold").applyInPandas(merge, schema)
 
@@ -257,12 +274,86 @@ def _approach(x: np.ndarray, squares: np.ndarray, y: np.ndarray, ridge: float, l
     return w
 
 
+def _restricted(x: np.ndarray, gram: _Gram, places: np.ndarray, chosen: np.ndarray, ridge: float, right: np.ndarray) -> np.ndarray:
+    """Solve ``(x'x + ridge) w = right`` over the chosen columns, in the smaller of the two sides of ``x``."""
+    if len(chosen) <= len(x):
+        return np.linalg.solve(gram.block(places[chosen]) + ridge * np.eye(len(chosen)), right)
+    own = x[:, chosen]
+    inner = np.linalg.solve(own @ own.T + ridge * np.eye(len(x)), own @ right)
+    return (right - own.T @ inner) / ridge
+
+
+def _newton(x: np.ndarray, gram: _Gram, places: np.ndarray, y: np.ndarray, ridge: float, lasso: float, w: np.ndarray, tolerance: float) -> tuple[np.ndarray, int, bool]:
+    """Semismooth Newton steps (as in Boschi et al., 2020): the coordinates that a proximal step of length ``1 / ridge`` leaves other
+    than 0 are active, and all of them are solved for at once with those signs. From the solution of a near penalty a few steps
+    reach the optimum. Steps that come back to an earlier active set would go in circles and end the search."""
+    rest = y - x[:, w != 0] @ w[w != 0]
+    seen = set()
+    for step_no in range(_NEWTON_STEPS):
+        pull = x.T @ rest - ridge * w
+        broken = np.where(w != 0, np.abs(pull - lasso * np.sign(w)), np.abs(pull) - lasso)
+        if broken.max(initial=0.0) <= tolerance:
+            return w, step_no, True
+        lean = pull + ridge * w
+        chosen = np.flatnonzero(np.abs(lean) > lasso)
+        signs = np.sign(lean[chosen])
+        state = chosen.tobytes() + signs.tobytes()
+        if state in seen:
+            return w, step_no, False
+        seen.add(state)
+        w = np.zeros(len(w))
+        try:
+            w[chosen] = _restricted(x, gram, places, chosen, ridge, x[:, chosen].T @ y - lasso * signs)
+        except np.linalg.LinAlgError:
+            return w, step_no, False
+        rest = y - x[:, w != 0] @ w[w != 0]
+    return w, _NEWTON_STEPS, False
+
+
+def _glide(x: np.ndarray, y: np.ndarray, ridge: float, lasso: float, w: np.ndarray, steps: int) -> np.ndarray:
+    """Accelerated proximal steps from ``w`` (Beck and Teboulle, 2009), restarted when they turn back."""
+    direction = x.T @ y
+    for _ in range(15):
+        size = np.linalg.norm(direction)
+        direction = x.T @ (x @ (direction / size)) if size > 0 else direction
+    top = 1.05 * float(np.linalg.norm(direction)) + ridge
+    if top <= 0:
+        return w
+    ahead, momentum = w, 1.0
+    for _ in range(steps):
+        slope = x.T @ (x @ ahead - y) + ridge * ahead
+        point = ahead - slope / top
+        after = np.sign(point) * np.maximum(np.abs(point) - lasso / top, 0)
+        if (ahead - after) @ (after - w) > 0:
+            momentum = 1.0
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = after + (momentum - 1) / following * (after - w)
+        w, momentum = after, following
+    return w
+
+
+def _possible(pull: np.ndarray, rest: np.ndarray, y: np.ndarray, w: np.ndarray, squares: np.ndarray, ridge: float, lasso: float) -> np.ndarray:
+    """Which features may have a weight at the optimum, by the gap of ``w`` (Ndiaye et al., 2017): the optimal dual point lies in a
+    sphere around a feasible one, and a feature whose condition holds strictly all over the sphere has none. No feature with a
+    weight is ever left out. The ridge is taken as further rows of the data."""
+    if lasso <= 0:
+        return np.ones(len(w), bool)
+    scale = max(lasso, float(np.abs(pull).max(initial=0.0)))
+    squared = rest @ rest + ridge * (w @ w)
+    primal = 0.5 * squared + lasso * np.abs(w).sum()
+    # |theta - y / lasso|^2 with theta = rest / scale
+    apart = squared / scale**2 - 2 * (rest @ y) / (scale * lasso) + (y @ y) / lasso**2
+    gap = max(0.0, primal - 0.5 * (y @ y) + 0.5 * lasso**2 * apart)
+    return np.abs(pull) / scale + np.sqrt(2 * gap * (squares + ridge)) / lasso >= 1 - 1e-9
+
+
 def solve(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, l1_ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Solutions along a descending list of penalties, each started from the one before.
 
-    Of each penalty only features that the sequential strong rule (Tibshirani et al., 2012) keeps are searched; then the
-    optimality condition of **all** features is checked, and those that break it join until none does. Returns the weights
-    (a column per penalty), steps and whether each is optimal.
+    Features that the gap of the start rules out are certainly 0 and not looked at again for this penalty. Of the others only those
+    that the sequential strong rule (Tibshirani et al., 2012) keeps are searched; then the optimality condition of **all** that
+    were not ruled out is checked, and those that break it join until none does. Newton steps find the optimum; where they do not,
+    coordinate descent and sign search do. Returns the weights (a column per penalty), steps and whether each is optimal.
     """
     moment = x.T @ y
     weights = np.zeros((len(moment), len(alphas)))
@@ -273,63 +364,156 @@ def solve(x: np.ndarray, y: np.ndarray, alphas: np.ndarray, l1_ratio: float) ->
     floor = _RIDGE_FLOOR * float(squares.max(initial=1.0))
     tolerance = _TOLERANCE * max(1.0, float(np.abs(moment).max(initial=0.0)))
     last = float(np.abs(moment).max(initial=0.0))
-    pull = moment
     for k, alpha in enumerate(alphas):
         lasso, ridge = alpha * l1_ratio, max(alpha * (1 - l1_ratio), floor)
-        kept = (w != 0) | (np.abs(pull) >= 2 * lasso - last)
+        active = np.flatnonzero(w)
+        rest = y - x[:, active] @ w[active]
+        pull = x.T @ rest - ridge * w
+        possible = _possible(pull, rest, y, w, squares, ridge, lasso)
+        kept = ((w != 0) | (np.abs(pull) >= 2 * lasso - last)) & possible
+        others = None
         while True:
             places = np.flatnonzero(kept)
             own = np.asfortranarray(x[:, places])
-            near = _approach(own, squares[places], y, ridge, lasso, w[places])
-            found, more, good = _descend(own, gram, places, ridge, moment[places], lasso, near)
+            start = w[places]
+            found, more, good = _newton(own, gram, places, y, ridge, lasso, w[places], tolerance)
+            for glides in _GLIDES:
+                if good:
+                    break
+                found, extra, good = _newton(own, gram, places, y, ridge, lasso, _glide(own, y, ridge, lasso, start, glides), tolerance)
+                more += extra
+            if not good:
+                near = _approach(own, squares[places], y, ridge, lasso, start)
+                found, extra, good = _descend(own, gram, places, ridge, moment[places], lasso, near)
+                more += extra
             w = np.zeros(len(moment))
             w[places] = found
             steps[k] += more
+            if others is None:
+                others = np.flatnonzero(possible & ~kept)
+                rows = x if 2 * len(others) > len(moment) else x[:, others]
             active = np.flatnonzero(w)
-            pull = moment - x.T @ (x[:, active] @ w[active])
-            broken = ~kept & (np.abs(pull) > lasso + tolerance)
-            if not broken.any() or not good:
+            rest = y - x[:, active] @ w[active]
+            pull = (rows.T @ rest)[others] if rows is x else rows.T @ rest
+            broken = others[(np.abs(pull) > lasso + tolerance) & ~kept[others]]
+            if not len(broken) or not good:
                 break
-            kept |= broken
+            kept[broken] = True
         weights[:, k], fine[k], last = w, good, lasso
     return weights, steps, fine
 
 
-def cross_validate(factors: DataFrame, entity: str, l1_ratios: list[float] | None = None, n_alphas: int = N_ALPHAS) -> DataFrame:
-    """``(entity, l1_ratio, alpha, fold, mse, sweeps, converged)``: held-out error for every grid point and fold.
-
-    One group per (entity, l1 ratio); its input are the factors, bounded by the features and not by the rows. The
-    penalties are in the function, not in the rows. The number of tasks is stated, since AQE would judge these small but slow
-    groups by their bytes.
+def _blocks(table: pa.Table) -> dict[int, np.ndarray]:
+    """The factor of each fold of one entity, from the rows of any number of tasks."""
+    lists = table.column("row").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    folds = table.column("fold").to_numpy()
+    return {int(fold): _reduced(flat[folds == fold]) for fold in np.unique(folds)}
+
+
+def _held_out(by_fold: dict[int, np.ndarray], fold: int, ratios: list[float], alphas: np.ndarray) -> list[dict]:
+    """Errors in one fold of the fits of all grid points to the others; the factors are standardised."""
+    held = by_fold[fold]
+    rest = [rows for other, rows in by_fold.items() if other != fold]
+    n_held = float(held[:, 0] @ held[:, 0])
+    if not rest or n_held < 0.5:
+        return []
+    x, y, x_mean, y_mean = _centred(_reduced(np.vstack(rest)))
+    out = []
+    for ratio in ratios:
+        weights, steps, fine = solve(x, y, alphas, ratio)
+        error = held[:, -1:] - held[:, 1:-1] @ weights - held[:, :1] * (y_mean - x_mean @ weights)
+        mse = (error**2).sum(axis=0) / n_held
+        out += [
+            {"kind": "error", "l1_ratio": ratio, "alpha": a, "fold": fold, "mse": m, "sweeps": int(s), "converged": bool(c)}
+            for a, m, s, c in zip(alphas.tolist(), mse.tolist(), steps, fine, strict=True)
+        ]
+    return out
+
+
+def _fitted(standardised: np.ndarray, ratio: float, alpha: float) -> dict:
+    """The fit of one penalty to all rows. A short path of penalties leads to it, so that each search has a start."""
+    x, y, x_mean, y_mean = _centred(_reduced(standardised))
+    top = float(np.abs(x.T @ y).max(initial=0.0)) / max(ratio, 1e-3)
+    path = np.append(np.geomspace(top, alpha, 12)[:-1], alpha) if top > alpha > 0 else np.array([alpha])
+    weights, steps, fine = solve(x, y, path, ratio)
+    w = weights[:, -1]
+    return {"l1_ratio": ratio, "alpha": alpha, "intercept": float(y_mean - x_mean @ w), "coefficients": w.tolist(), "sweeps": int(steps.sum()), "converged": bool(fine[-1])}
+
+
+def _best(errors: list[dict]) -> tuple[float, float] | None:
+    """As :func:`select_penalty`, of one entity."""
+    sums: dict[tuple[float, float], list[float]] = {}
+    for e in errors:
+        sums.setdefault((e["l1_ratio"], e["alpha"]), []).append(e["mse"])
+    means = [(float(np.mean(v)), ratio, -alpha) for (ratio, alpha), v in sums.items()]
+    return (min(means)[1], -min(means)[2]) if means else None
+
+
+def search(factors: DataFrame, entity: str, l1_ratios: list[float] | None = None, n_alphas: int = N_ALPHAS, spread: bool = False, alphas: list[float] | None = None) -> DataFrame:
+    """Everything that is learned from the factors, from one exchange of them: rows of ``kind`` ``scaler`` (``coefficients``: means,
+    ``scale``), ``error`` (a grid point and fold) and ``model`` (the best grid point's fit to all rows).
+
+    A task has the factors of one entity, so no factor is sent twice. With fewer entities than cores that leaves cores idle:
+    ``spread`` sends them to a task for each (entity, fold), a copy each; the choice needs all folds there, so models are not in
+    the result and :func:`fit` makes them. The number of tasks is stated, since AQE would judge slow groups by their bytes.
     """
     spark = factors.sparkSession
     ship_package(spark)
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    ratios = F.array(*[F.lit(float(r)) for r in (l1_ratios or L1_RATIOS)])
-    work = factors.withColumn("l1_ratio", F.explode(ratios)).repartition(tasks, entity, "l1_ratio")
-    alphas = np.sort(np.asarray(alpha_values(n_alphas)))[::-1]
+    ratios = [float(r) for r in (l1_ratios or L1_RATIOS)]
+    penalties = np.sort(np.asarray(alphas if alphas is not None else alpha_values(n_alphas), float))[::-1]
+    kind = dict(factors.dtypes)[entity]
+    schema = (
+        f"`{entity}` {kind}, kind string, l1_ratio double, alpha double, fold bigint, mse double, sweeps bigint, converged boolean, "
+        "intercept double, coefficients array<double>, scale array<double>"
+    )
+    out = arrow_schema(schema)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        name, ratio = part[entity].iloc[0], float(part["l1_ratio"].iloc[0])
-        raw = {int(fold): np.vstack(rows["row"].to_list()) for fold, rows in part.groupby("fold")}
-        standard = _Standard(np.vstack(list(raw.values())))
+    def run(table: pa.Table) -> pa.Table:
+        name = table.column(entity)[0].as_py()
+        raw = _blocks(table)
+        whole = np.vstack(list(raw.values()))
+        standard = _Standard(whole)
         by_fold = {fold: standard.apply(rows) for fold, rows in raw.items()}
-        out = []
-        for fold, held in by_fold.items():
-            rest = [rows for other, rows in by_fold.items() if other != fold]
-            n_held = float(held[:, 0] @ held[:, 0])
-            if not rest or n_held < 0.5:
-                continue
-            x, y, x_mean, y_mean = _centred(_reduced(np.vstack(rest)))
-            weights, steps, fine = solve(x, y, alphas, ratio)
-            error = held[:, -1:] - held[:, 1:-1] @ weights - held[:, :1] * (y_mean - x_mean @ weights)
-            out.append(pd.DataFrame({"alpha": alphas, "fold": fold, "mse": (error**2).sum(axis=0) / n_held, "sweeps": steps, "converged": fine}))
-        result = pd.concat(out) if out else pd.DataFrame({"alpha": [], "fold": [], "mse": [], "sweeps": [], "converged": []})
-        return result.assign(**{entity: name, "l1_ratio": ratio})[[entity, "l1_ratio", "alpha", "fold", "mse", "sweeps", "converged"]]
+        held = table.column("held")[0].as_py() if spread else None
+        rows = [e for fold in by_fold if held is None or fold == held for e in _held_out(by_fold, fold, ratios, penalties)]
+        if held is None or held == min(raw):
+            rows.append({"kind": "scaler", "coefficients": standard.mean.tolist(), "scale": standard.scale.tolist()})
+        if held is None and (best := _best(rows[:-1])):
+            rows.append({"kind": "model", **_fitted(standard.apply(whole), *best)})
+        return pa.Table.from_pylist([{entity: name, **r} for r in rows], schema=out)
 
-    kind = dict(factors.dtypes)[entity]
-    schema = f"`{entity}` {kind}, l1_ratio double, alpha double, fold bigint, mse double, sweeps bigint, converged boolean"
-    return work.groupBy(entity, "l1_ratio").applyInPandas(run, schema)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    if not spread:
+        return factors.repartition(tasks, entity).groupBy(entity).applyInArrow(run, schema)
+    folds = sorted(r[0] for r in factors.select("fold").distinct().collect())
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold in folds:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, fold, np.int64))], names=[*batch.schema.names, "held"])
+
+    sent = factors.select(entity, "fold", "row").mapInArrow(copied, f"`{entity}` {kind}, fold bigint, row array<double>, held bigint")
+    return sent.repartition(tasks, entity, "held").groupBy(entity, "held").applyInArrow(run, schema)
+
+
+def errors_of(found: DataFrame, entity: str) -> DataFrame:
+    return found.where("kind = 'error'").select(entity, "l1_ratio", "alpha", "fold", "mse", "sweeps", "converged")
+
+
+def scaler_from(found: DataFrame, entity: str) -> DataFrame:
+    pairs = found.where("kind = 'scaler'").select(entity, F.posexplode(F.arrays_zip("coefficients", "scale")).alias("pos", "m"))
+    return pairs.select(entity, "pos", F.col("m.coefficients").alias("mean"), "m.scale")
+
+
+def models_of(found: DataFrame, entity: str) -> DataFrame:
+    return found.where("kind = 'model'").select(entity, "l1_ratio", "alpha", "intercept", "coefficients", "sweeps", "converged")
+
+
+def cross_validate(factors: DataFrame, entity: str, l1_ratios: list[float] | None = None, n_alphas: int = N_ALPHAS) -> DataFrame:
+    """``(entity, l1_ratio, alpha, fold, mse, sweeps, converged)``: held-out error for every grid point and fold, a task per
+    (entity, fold)."""
+    return errors_of(search(factors, entity, l1_ratios, n_alphas, spread=True), entity)
 
 
 def select_penalty(errors: DataFrame, entity: str) -> DataFrame:
@@ -348,24 +532,9 @@ def fit(factors: DataFrame, penalties: DataFrame, entity: str) -> DataFrame:
     work = factors.join(penalties.select(entity, "l1_ratio", "alpha"), entity)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        ratio, alpha = float(part["l1_ratio"].iloc[0]), float(part["alpha"].iloc[0])
         rows = np.vstack(part["row"].to_list())
-        x, y, x_mean, y_mean = _centred(_reduced(_Standard(rows).apply(rows)))
-        # a short path of penalties leads to the wanted one, so that the strong rule has something to start from
-        top = float(np.abs(x.T @ y).max(initial=0.0)) / max(ratio, 1e-3)
-        path = np.append(np.geomspace(top, alpha, 12)[:-1], alpha) if top > alpha > 0 else np.array([alpha])
-        weights, steps, fine = solve(x, y, path, ratio)
-        return pd.DataFrame(
-            {
-                entity: [part[entity].iloc[0]],
-                "l1_ratio": [ratio],
-                "alpha": [alpha],
-                "intercept": [float(y_mean - x_mean @ weights[:, -1])],
-                "coefficients": [weights[:, -1]],
-                "sweeps": [int(steps.sum())],
-                "converged": [bool(fine[-1])],
-            }
-        )
+        found = _fitted(_Standard(rows).apply(rows), float(part["l1_ratio"].iloc[0]), float(part["alpha"].iloc[0]))
+        return pd.DataFrame([{entity: part[entity].iloc[0], **found}])[[entity, *_MODEL]]
 
     kind = dict(factors.dtypes)[entity]
     schema = f"`{entity}` {kind}, l1_ratio double, alpha double, intercept double, coefficients array<double>, sweeps bigint, converged boolean"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.constants import CV_FOLDS, SEED, TEST_FRACTION
+from dosewise.constants import CV_FOLDS, N_ALPHAS, SEED, TEST_FRACTION
 from dosewise.operators import elasticnet, score, split
 from dosewise.session import materialise
 
@@ -35,6 +35,8 @@ def train_all(
     test_fraction: float = TEST_FRACTION,
     folds: int = CV_FOLDS,
     group_col: str | None = None,
+    l1_ratios: list[float] | None = None,
+    n_alphas: int = N_ALPHAS,
 ) -> Training:
     """Split, standardise, cross-validate, refit and score all entities together.
 
@@ -51,11 +53,17 @@ def train_all(
         split.split_points(named, entity, keys, seed, test_fraction, folds, distinct_keys=group_col is not None)
     )
     rows = split.assign_split(named, entity, list(row_cols), seed, test_fraction, folds, group_col, points)
-    factors = materialise(elasticnet.fold_factors(rows.where("split = 'train'"), entity, n_features, target=target))
-    scaler = materialise(elasticnet.scaler_of(factors, entity))
-    errors = materialise(elasticnet.cross_validate(factors, entity))
-    penalties = elasticnet.select_penalty(errors, entity)
-    model = materialise(elasticnet.fit(factors, penalties, entity))
+    factors = elasticnet.fold_factors(rows.where("split = 'train'"), entity, n_features, target=target)
+    # entities keep all cores busy, or their folds must
+    spread = points.count() < named.sparkSession.sparkContext.defaultParallelism
+    if spread:
+        factors = materialise(factors)
+    found = materialise(elasticnet.search(factors, entity, l1_ratios, n_alphas, spread))
+    errors, scaler = elasticnet.errors_of(found, entity), materialise(elasticnet.scaler_from(found, entity))
+    if spread:
+        model = materialise(elasticnet.fit(factors, elasticnet.select_penalty(errors, entity), entity))
+    else:
+        model = elasticnet.models_of(found, entity)
     raw = materialise(elasticnet.raw_model(model, scaler, entity))
     predictions = score.predict(rows.where("split = 'test'"), raw, entity)
     metrics = score.evaluate(predictions, entity, target)
