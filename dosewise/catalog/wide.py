@@ -28,20 +28,21 @@ def _counts(t: Inputs) -> DataFrame:
     return counted.join(places, "word").select("doc_id", "lang", "n_chars", "pos", "times")
 
 
-def _dense(documents: DataFrame) -> DataFrame:
-    """Sparse word lists to one array of N_WORDS doubles per row."""
+def _dense(documents: DataFrame, width: int = N_WORDS, target: str = "n_chars") -> DataFrame:
+    """Sparse word lists to one array of ``width`` doubles per row."""
     ship_package(documents.sparkSession)
-    schema = "doc_id bigint, lang string, n_chars double, features array<double>"
+    schema = f"doc_id bigint, lang string, {target} double, features array<double>"
+    rows = max(1, (8 << 20) // width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                full = np.zeros((batch.num_rows, N_WORDS))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                full = np.zeros((batch.num_rows, width))
                 for k, (places, times) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                     full[k, places] = times
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, full.size + 1, N_WORDS, dtype=np.int32)), pa.array(full.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["doc_id", "lang", "n_chars", "features"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, full.size + 1, width, dtype=np.int32)), pa.array(full.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], names=["doc_id", "lang", target, "features"])
 
     return documents.mapInArrow(run, schema)
 
@@ -88,6 +89,34 @@ def _wide(t: Inputs) -> DataFrame:
     ).select("lang", "n_rows", "n_features", "converged", "some_weights", "optimal")
 
 
+CV_RATIOS, CV_FOLDS_WIDE = [0.5, 0.9], 4
+#: 20 penalties, in equal steps of their logarithm.
+CV_ALPHAS = np.geomspace(1.0, 0.1, 20).tolist()
+
+
+@query("elasticnet_cv_wide")
+def _cv_wide(t: Inputs) -> DataFrame:
+    """Mean word length from the shares of all words of a language, searched over penalties and folds; the rows of the selected
+    penalty are marked. Too much for plain SQL; a test holds it to another solver."""
+    words = t.table("documents").select("doc_id", "lang", F.explode(F.split(F.lower("text"), "[ \n]+")).alias("word")).where("word <> ''")
+    counted = materialise(words.groupBy("doc_id", "lang", "word").agg(F.count("*").alias("times")))
+    vocabulary = counted.select("lang", "word").distinct()
+    places = materialise(vocabulary.withColumn("pos", F.row_number().over(Window.partitionBy("lang").orderBy("word")) - 1))
+    width = (places.agg(F.max("pos")).first()[0] or 0) + 1
+    found = counted.join(places, ["lang", "word"])
+    rows = (
+        found.groupBy("doc_id", "lang")
+        .agg(F.collect_list(F.struct("pos", "times")).alias("cells"), F.sum("times").alias("n"), F.sum(F.col("times") * F.length("word")).alias("chars"))
+        .select("doc_id", "lang", (F.col("chars") / F.col("n")).alias("word_length"), F.col("cells.pos").alias("places"), F.transform("cells", lambda c: c["times"] / F.col("n")).alias("shares"))
+    )
+    dense = _dense(rows, width, "word_length").withColumn("fold", F.pmod("doc_id", F.lit(CV_FOLDS_WIDE)))
+    factors = materialise(elasticnet.fold_factors(dense, "lang", width, target="word_length"))
+    errors = materialise(elasticnet.errors_of(elasticnet.search(factors, "lang", CV_RATIOS, alphas=CV_ALPHAS, spread=True), "lang"))
+    chosen = elasticnet.select_penalty(errors, "lang").select("lang", "l1_ratio", "alpha", F.lit(True).alias("selected"))
+    marked = errors.join(chosen, ["lang", "l1_ratio", "alpha"], "left")
+    return marked.select("lang", "l1_ratio", F.round("alpha", 9).alias("alpha"), "fold", F.round("mse", 7).alias("mse"), "converged", F.coalesce("selected", F.lit(False)).alias("selected"))
+
+
 TOP_N = 20
 
 

@@ -1,7 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dosewise.catalog import wide  # noqa: F401
+from dosewise.catalog.registry import QUERIES
 from dosewise.operators import elasticnet, score
 from dosewise.plans import training
 
@@ -133,3 +136,96 @@ def test_whole_training(spark):
     assert score.model_table(run.model, run.scaler, names, "drug_slug").count() == 16
     record = score.metrics_record(df, run.metrics, run.model, "drug_slug", "stored").where("drug_slug = 'a'").first()
     assert (record.n_samples, record.n_features, record.test_size, record.random_state) == (300, 8, 0.2, 42)
+
+
+def coordinate_descent(x, y, lasso, ridge):
+    """Plain cyclic descent over all columns, apart from the library's solver."""
+    w, rest, squares = np.zeros(x.shape[1]), y.copy(), (x**2).sum(axis=0)
+    for _ in range(20_000):
+        most = 0.0
+        for j in range(x.shape[1]):
+            pull = x[:, j] @ rest + squares[j] * w[j]
+            new = np.sign(pull) * max(abs(pull) - lasso, 0) / (squares[j] + ridge)
+            if new != w[j]:
+                rest -= x[:, j] * (new - w[j])
+                most, w[j] = max(most, abs(new - w[j])), new
+        if most < 1e-12:
+            break
+    return w
+
+
+def test_wide_search_against_another_solver(spark, tmp_path):
+    """Every error and the selected penalty of the wide query on a small table."""
+    draw = np.random.default_rng(11)
+    vocabulary = ["".join(draw.choice(list("abcdefgh"), draw.integers(1, 9))) for _ in range(60)]
+    rows = [(i, ("de", "en")[i % 3 > 0], " ".join(draw.choice(vocabulary, draw.integers(5, 30)))) for i in range(70)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["elasticnet_cv_wide"](spark, str(tmp_path)).toPandas()
+    assert found["converged"].all()
+    for lang, own in found.groupby("lang"):
+        texts = [(i, t.split()) for i, x, t in rows if x == lang]
+        words = sorted({w for _, t in texts for w in t})
+        x = np.array([[t.count(w) / len(t) for w in words] for _, t in texts])
+        y = np.array([sum(map(len, t)) / len(t) for _, t in texts])
+        z, folds = (x - x.mean(axis=0)) / x.std(axis=0), np.array([i % 4 for i, _ in texts])
+        sums = {}
+        for (ratio, alpha, fold), cell in own.groupby(["l1_ratio", "alpha", "fold"]):
+            train = folds != fold
+            n, centre, middle = train.sum(), z[train].mean(axis=0), y[train].mean()
+            w = coordinate_descent((z[train] - centre) / np.sqrt(n), (y[train] - middle) / np.sqrt(n), alpha * ratio, alpha * (1 - ratio))
+            error = ((y[~train] - middle - (z[~train] - centre) @ w) ** 2).mean()
+            assert abs(error - cell["mse"].item()) < 1e-6
+            sums[ratio, alpha] = sums.get((ratio, alpha), 0) + error
+        best = own[own["selected"]][["l1_ratio", "alpha"]].drop_duplicates().to_numpy().tolist()
+        assert len(own) == 2 * 20 * 4 and best == [list(min(sums, key=lambda k: (round(sums[k], 9), k[0], -k[1])))]
+
+
+def test_search_in_one_exchange_or_spread(spark):
+    """Both give the same errors, scalers and models; neither explodes factors."""
+    draw = np.random.default_rng(4)
+    rows = [(f"d{i % 3}", i % 4, draw.normal(size=9).tolist(), float(draw.normal())) for i in range(90)]
+    data = spark.createDataFrame(rows, "drug_slug string, fold bigint, features array<double>, ln_ic50 double")
+    factors = elasticnet.fold_factors(data, "drug_slug", 9)
+    whole = elasticnet.search(factors, "drug_slug", [0.2, 0.9], 7)
+    parts = elasticnet.search(factors, "drug_slug", [0.2, 0.9], 7, spread=True)
+    assert "Generate" not in whole._jdf.queryExecution().toString() and "Generate" not in parts._jdf.queryExecution().toString()
+    keys = ["drug_slug", "l1_ratio", "alpha", "fold"]
+    a, b = (elasticnet.errors_of(f, "drug_slug").toPandas().sort_values(keys).reset_index(drop=True) for f in (whole, parts))
+    assert len(a) == 3 * 2 * 7 * 4 and a["converged"].all()
+    pd.testing.assert_frame_equal(a[[*keys, "mse"]], b[[*keys, "mse"]])
+    assert sorted(map(tuple, elasticnet.scaler_from(whole, "drug_slug").collect())) == sorted(map(tuple, elasticnet.scaler_from(parts, "drug_slug").collect()))
+    models = elasticnet.models_of(whole, "drug_slug").toPandas().set_index("drug_slug")
+    chosen = elasticnet.select_penalty(elasticnet.errors_of(parts, "drug_slug"), "drug_slug")
+    for m in elasticnet.fit(factors, chosen, "drug_slug").collect():
+        own = models.loc[m["drug_slug"]]
+        assert (own["l1_ratio"], own["alpha"]) == (m["l1_ratio"], m["alpha"])
+        np.testing.assert_allclose(own["coefficients"], m["coefficients"], atol=1e-9)
+
+
+def test_short_factors_are_not_merged(spark):
+    rows = [("d", 0, [float(i), 1.0], 1.0) for i in range(40)]
+    data = spark.createDataFrame(rows, "drug_slug string, fold bigint, features array<double>, ln_ic50 double")
+    assert "Exchange" in elasticnet.fold_factors(data, "drug_slug", 2)._jdf.queryExecution().toString()
+    assert "Exchange" not in elasticnet.fold_factors(data.limit(3).coalesce(1), "drug_slug", 2, merge=False)._jdf.queryExecution().executedPlan().toString().replace("Exchange SinglePartition", "")
+
+
+@pytest.mark.parametrize("ratio", [0.1, 0.7, 1.0])
+def test_solver_meets_all_conditions(ratio):
+    """More features than rows, copies of features, features of one row; no feature with a weight is ruled out by the gap."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(40, 300))
+    x[:, 100:150], x[:, 150:160] = x[:, :50], 0.0
+    x[:, 200:210] = np.eye(40)[:, :1]
+    y = x[:, :5] @ np.arange(1.0, 6) + draw.normal(size=40)
+    x, y = (x - x.mean(axis=0)) / np.sqrt(40), (y - y.mean()) / np.sqrt(40)
+    alphas = np.geomspace(3, 0.02, 25)
+    weights, _, fine = elasticnet.solve(x, y, alphas, ratio)
+    assert fine.all() and (weights[:, -1] != 0).any()
+    for k, alpha in enumerate(alphas):
+        w, lasso, ridge = weights[:, k], alpha * ratio, alpha * (1 - ratio)
+        pull = x.T @ (y - x @ w) - ridge * w
+        assert np.where(w != 0, np.abs(pull - lasso * np.sign(w)), np.abs(pull) - lasso).max() < 1e-7
+        start = weights[:, max(0, k - 1)]
+        rest = y - x @ start
+        possible = elasticnet._possible(x.T @ rest - ridge * start, rest, y, start, (x**2).sum(axis=0), ridge, lasso)
+        assert possible[np.abs(w) > 1e-9].all()
