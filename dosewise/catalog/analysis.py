@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dosewise.catalog.modelling import ENTITY, FIT_SQL, ROW, Fit, feature_names
 from dosewise.catalog.registry import Inputs, query
 from dosewise.operators import assemble, features, quality, score
-from dosewise.plans import dataset
+from dosewise.plans import dataset, training
 from dosewise.session import workspace
 from dosewise.sources import readers, writers
 
@@ -125,3 +125,57 @@ def _model_store(t: Inputs) -> DataFrame:
     stored = readers.read_models(t.spark, path, ENTITY)
     scored = score.predict(fitted.rows.where("split = 'test'"), stored, ENTITY)
     return scored.select(ENTITY, *ROW, F.round("prediction", 4).alias("prediction"))
+
+
+@query(
+    "expression_csv_multiline",
+    """SELECT concat('AC"H', chr(10), ',', vec_id, CASE WHEN vec_id % 3 = 0 THEN chr(10) || chr(10) || '"' ELSE '' END) AS model_id, CAST(pos AS BIGINT) AS pos,
+  concat('G', pos, ', "x"', chr(10), '(', pos, ')') AS feature, round(CAST(value AS DOUBLE), 6) AS value
+FROM (SELECT vec_id, unnest(embedding) AS value, unnest(range(len(embedding))) AS pos FROM embeddings)""",
+)
+def _expression_multiline(t: Inputs) -> DataFrame:
+    """Line breaks and quotes in header and cells; the file is read in parts that begin inside quotes too."""
+    path = f"{workspace(t.spark)}/expression.csv"
+    values = [F.col("features")[i].alias(f'G{i}, "x"\n({i})') for i in range(t.n_features)]
+    name = F.concat(F.lit('AC"H\n,'), F.col("model_id").cast("string"), F.when(F.col("model_id") % 3 == 0, '\n\n"').otherwise(""))
+    writers.write_table(t.expression.select(name.alias('Model, "ID"'), *values), path)
+    matrix, names = readers.read_expression_csv(t.spark, path, 'Model, "ID"', multiline=True)
+    long = matrix.select("model_id", F.posexplode("features").alias("pos", "value")).join(names, "pos")
+    return long.select("model_id", F.col("pos").cast("bigint").alias("pos"), "feature", F.round("value", 6).alias("value"))
+
+
+@query("align_checked", "SELECT vec_id AS model_id, CAST(len(embedding) AS BIGINT) AS n_features, round(vec_id * CAST(0.5 AS DOUBLE), 1) AS y FROM embeddings")
+def _align_checked(t: Inputs) -> DataFrame:
+    """Both sides cut to their shared features, and the left one aligned with a target under its contracts."""
+    target = t.expression.select("model_id", (F.col("model_id") * 0.5).alias("y"))
+    names = feature_names(t)
+    rows, _, _ = dataset.aligned_pair(t.expression, names, t.expression, names, target, minimum=t.n_features)
+    return rows.select("model_id", F.size("features").cast("bigint").alias("n_features"), F.round("y", 1).alias("y"))
+
+
+_NAMES_SQL = "CASE assay_id % 4 WHEN 0 THEN 'Drug (A)' WHEN 1 THEN 'Drug A' WHEN 2 THEN '(-)' ELSE ' DRUG ' END"
+_KEY_SQL = "CASE assay_id % 4 WHEN 0 THEN 'drug (a)' WHEN 1 THEN 'drug a' WHEN 2 THEN '(-)' ELSE 'drug' END"
+
+
+@query(
+    "entity_names_trained",
+    f"""WITH named AS (SELECT {_KEY_SQL} AS drug_key, assay_id, depmap_model_id, ln_ic50, CASE assay_id % 4 WHEN 0 THEN 'drug_a' WHEN 1 THEN 'drug_a' ELSE 'drug' END AS slug FROM ds),
+o AS (SELECT *, row_number() OVER (PARTITION BY drug_key ORDER BY md5(concat(assay_id, '|', depmap_model_id, '|42'))) AS pos,
+  CAST(ceil(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY drug_key)) AS BIGINT) AS n_test FROM named)
+SELECT concat(any_value(slug), '_', left(sha256(drug_key), 8)) AS drug_slug, drug_key, count(*) AS n_rows, min(n_test) AS n_tested,
+  round(avg(CASE WHEN pos > n_test THEN ln_ic50 END), 5) AS intercept, CAST(64 AS BIGINT) AS n_ranked FROM o GROUP BY drug_key""",
+    ("ds",),
+)
+def _entity_names(t: Inputs) -> DataFrame:
+    """Four names of two slugs through dataset, storage, training and ranking. Features are scaled on the training rows, so the
+    intercept of a model is their mean target."""
+    response = t.response.withColumn("drug_name", F.expr(_NAMES_SQL))
+    rows = dataset.build_dataset(response, t.metadata, t.expression, narrow=True)
+    path = f"{workspace(t.spark)}/per_entity"
+    writers.write_entity_dataset(rows, path)
+    stored = readers.read_entity_dataset(t.spark, path, rows.schema)
+    run = training.train_all(stored, t.n_features, matrix=assemble.keyed_matrix(t.expression), l1_ratios=[0.5], n_alphas=6)
+    ranked = score.coefficient_table(run.model, feature_names(t), "drug_slug").groupBy("drug_slug").agg(F.count("*").alias("n_ranked"))
+    sizes = stored.groupBy("drug_slug", F.lower(F.trim("drug_name")).alias("drug_key")).agg(F.count("*").alias("n_rows"))
+    tested = run.metrics.select("drug_slug", F.col("n").alias("n_tested"))
+    return sizes.join(tested, "drug_slug").join(run.model.select("drug_slug", F.round("intercept", 5).alias("intercept")), "drug_slug").join(ranked, "drug_slug")

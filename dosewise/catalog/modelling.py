@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.catalog.registry import Inputs, query
-from dosewise.operators import elasticnet, scale, score, split
+from dosewise.operators import assemble, elasticnet, scale, score, split
 from dosewise.plans import training
 from dosewise.session import materialise
 
@@ -303,13 +303,24 @@ def _model(t: Inputs) -> DataFrame:
     return rounded(rounded(model, 4, "intercept", "coefficient"), 9, "alpha").withColumn("coefficient", F.col("coefficient") + F.lit(0.0))
 
 
-@query(
-    "trained_metrics",
-    f"""WITH {MODEL_SQL}, tested AS (SELECT z.drug_slug, z.assay_id, z.depmap_model_id, min(z.ln_ic50) AS y, sum(z.z * k.w) + min(k.b) AS prediction
+_METRICS_SQL = f"""WITH {MODEL_SQL}, tested AS (SELECT z.drug_slug, z.assay_id, z.depmap_model_id, min(z.ln_ic50) AS y, sum(z.z * k.w) + min(k.b) AS prediction
   FROM z JOIN weights k ON k.drug_slug = z.drug_slug AND k.j = z.j WHERE z.split = 'test' GROUP BY ALL)
 SELECT drug_slug, count(*) AS n, round(sqrt(avg(pow(y - prediction, 2))), 4) AS rmse,
-  round(1 - sum(pow(y - prediction, 2)) / (var_pop(y) * count(*)), 4) AS r2 FROM tested GROUP BY drug_slug""",
+  round(1 - sum(pow(y - prediction, 2)) / (var_pop(y) * count(*)), 4) AS r2 FROM tested GROUP BY drug_slug"""
+
+
+@query(
+    "trained_metrics",
+    _METRICS_SQL,
     ("z",),
 )
 def _trained_metrics(t: Inputs) -> DataFrame:
     return rounded(_train(t).metrics.select(ENTITY, "n", "rmse", "r2"), 4, "rmse", "r2")
+
+
+@query("trained_metrics_late", _METRICS_SQL, ("z",))
+def _trained_late(t: Inputs) -> DataFrame:
+    """The same from a narrow dataset and a matrix by model that is joined where factors are built."""
+    narrow = materialise(t.modelling.drop("features").withColumn("copy", F.lit(1)))
+    run = training.train_all(narrow, t.n_features, ENTITY, tuple(ROW), matrix=assemble.keyed_matrix(t.expression))
+    return rounded(run.metrics.select(ENTITY, "n", "rmse", "r2"), 4, "rmse", "r2")

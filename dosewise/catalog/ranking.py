@@ -202,3 +202,33 @@ SELECT drug_slug, gene_set, rank, term, round(adj_p, 8) AS adj_p,
 )
 def _plot(t: Inputs) -> DataFrame:
     return _rounded(_rounded(enrich.plot_terms(_results(t), ENTITY), 8, "adj_p"), 6, "score")
+
+
+#: Symbols of the list, and the background, of the query of very small probabilities.
+_TINY, _TINY_BACKGROUND = 300, 20_000
+
+
+@query(
+    "enrichment_tiny_p",
+    f"""WITH n AS (SELECT count(*) AS n FROM part WHERE p_partkey BETWEEN 1 AND {_TINY}), t AS (SELECT unnest(range(1, 41)) AS i),
+c AS (SELECT i, (SELECT count(*) FROM part WHERE p_partkey BETWEEN i AND {_TINY}) AS a, (SELECT count(*) FROM part WHERE p_partkey BETWEEN i AND {_TINY} + 2 * i) AS k, n FROM t, n),
+x AS (SELECT i, a, k, n, unnest(range(a, least(k, n) + 1)) AS x FROM c),
+l AS (SELECT i, a, k, n, lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + lgamma({_TINY_BACKGROUND} - k + 1) - lgamma(n - x + 1) - lgamma({_TINY_BACKGROUND} - k - n + x + 1)
+  - lgamma({_TINY_BACKGROUND} + 1) + lgamma(n + 1) + lgamma({_TINY_BACKGROUND} - n + 1) AS l FROM x),
+m AS (SELECT *, max(l) OVER (PARTITION BY i) AS top FROM l),
+p AS (SELECT i, a, k, n, max(top) + ln(sum(exp(l - top))) AS ln_p FROM m GROUP BY ALL),
+r AS (SELECT *, count(*) OVER (ORDER BY ln_p RANGE UNBOUNDED PRECEDING) AS rank, count(*) OVER () AS terms FROM p),
+b AS (SELECT *, least(0, min(ln_p + ln(terms / rank)) OVER (ORDER BY ln_p DESC RANGE UNBOUNDED PRECEDING)) AS ln_adj_p FROM r)
+SELECT 'd' AS drug_slug, 'tiny' AS gene_set, concat('t', i) AS term, round(ln_p, 5) AS ln_p, round(ln_adj_p, 5) AS ln_adj_p,
+  round(CASE WHEN a < n AND a < k THEN -ln_p * (a * ({_TINY_BACKGROUND} - n - (k - a)) / CAST((n - a) * (k - a) AS DOUBLE)) END, 2) AS combined_score
+FROM b WHERE a > 0""",
+)
+def _tiny(t: Inputs) -> DataFrame:
+    """Terms that hold nearly all of a long list: their probabilities are far below the range of a double."""
+    symbol = F.col("p_partkey").cast("string").alias("symbol")
+    part = t.table("part").select("p_partkey")
+    genes = part.where(F.col("p_partkey").between(1, _TINY)).select(F.lit("d").alias(ENTITY), symbol)
+    terms = part.join(t.spark.range(1, 41), F.col("p_partkey").between(F.col("id"), _TINY + 2 * F.col("id")))
+    library = terms.select(F.lit("tiny").alias("gene_set"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("term"), symbol)
+    scored = enrich.score_terms(enrich.overlaps(genes, library, ENTITY), ENTITY, _TINY_BACKGROUND)
+    return _rounded(_rounded(scored.select(ENTITY, "gene_set", "term", "ln_p", "ln_adj_p", "combined_score"), 5, "ln_p", "ln_adj_p"), 2, "combined_score")

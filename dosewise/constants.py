@@ -60,3 +60,6 @@ OVERLAP_SAMPLE = 10
 VIOLATION_SAMPLE = 5
 HISTOGRAM_BINS = 30
 FALLBACK_SLUG = "drug"
+
+#: Folder of the entity with the empty name; slugs have no hyphens.
+EMPTY_ENTITY = "no-name"

@@ -24,13 +24,12 @@ def log_factorial(n: Column) -> Column:
     return F.when(x <= _EXACT_LIMIT, F.ln(F.factorial(n.cast("int")).cast("double"))).otherwise(series)
 
 
-def hypergeometric_tail(overlap: Column, drawn: Column, marked: Column, total: Column) -> Column:
-    """P(X >= overlap) for ``drawn`` picks out of ``total`` of which ``marked`` are hits.
+def hypergeometric_log_tail(overlap: Column, drawn: Column, marked: Column, total: Column) -> Column:
+    """ln P(X >= overlap) for ``drawn`` picks out of ``total`` of which ``marked`` are hits; minus infinity where it cannot be.
 
-    The first term comes from its logarithm, the others from their ratio to the one
-    before, so the sum is relative to the first term. It exceeds the range of a
-    double only where the first term, and all below it, is under 1e-308: then the
-    tail is 1.
+    The first term comes from its logarithm, the others from their ratio to the one before, so the sum is relative to the first
+    term and the result is finite however small the probability. The sum exceeds the range of a double only where the first term,
+    and all below it, is under 1e-308: then the tail is 1.
     """
     first = F.greatest(overlap, drawn + marked - total, F.lit(0))
     last = F.least(marked, drawn)
@@ -54,7 +53,12 @@ def hypergeometric_tail(overlap: Column, drawn: Column, marked: Column, total: C
 
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
     relative = F.aggregate(steps, start, add, lambda acc: acc["sum"])
-    return F.when(first > last, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.exp(log_first + F.ln(relative))))
+    return F.when(first > last, F.lit(float("-inf"))).otherwise(F.least(F.lit(0.0), log_first + F.ln(relative)))
+
+
+def hypergeometric_tail(overlap: Column, drawn: Column, marked: Column, total: Column) -> Column:
+    """P(X >= overlap); 0 where it is below the range of a double, where :func:`hypergeometric_log_tail` still tells it."""
+    return F.exp(hypergeometric_log_tail(overlap, drawn, marked, total))
 
 
 def odds_ratio(overlap: Column, drawn: Column, marked: Column, total: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from dosewise.functions.numbers import to_number
+from dosewise.functions.numbers import is_missing, to_number
 from dosewise.functions.text import clean_id, entity_key, file_slug, slug, usable_id
 from dosewise.operators import quality
+from dosewise.session import materialise
 
 
 def entity_filter(df: DataFrame, entity: str, name: str) -> DataFrame:
@@ -52,6 +53,18 @@ def storage_names(df: DataFrame, entity: str = "drug_name") -> DataFrame:
     return named.join(shared, "__slug").select("drug_key", F.when(F.col("n_keys") > 1, own).otherwise(F.col("__slug")).alias("storage_name"), "n_keys")
 
 
+def name_entities(standard: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The standard response with ``drug_slug`` replaced by the entity's storage name, which no other entity has.
+
+    ``names`` are those of :func:`storage_names` over the whole response; they are resolved once and then carried as the key
+    through dataset, split, training, ranking and storage. Rows without a name keep a null key.
+    """
+    names = storage_names(standard) if names is None else names
+    side = names.select(F.col("drug_key").alias("__key"), F.col("storage_name").alias("__name"))
+    joined = standard.join(side, entity_key(F.col("drug_name")) == F.col("__key"), "left")
+    return joined.select(*[F.col("__name").alias(c) if c == "drug_slug" else F.col(c) for c in standard.columns])
+
+
 def bridge_join(expression: DataFrame, metadata: DataFrame, model: str = "model_id") -> DataFrame:
     """Every expression row with its metadata; a missing model id matches a missing one.
 
@@ -84,6 +97,40 @@ def join_features(response: DataFrame, bridge: DataFrame, expression: DataFrame)
     )
 
 
+def narrow_dataset(response: DataFrame, bridge: DataFrame, expression: DataFrame) -> DataFrame:
+    """:func:`join_features` without the features: rows keep the model's id, by which the matrix is joined where factors are built.
+
+    Of the matrix only the ids are read. A model that stands twice in it gives two rows here, as in the wide form, and ``copy`` tells
+    them apart; :func:`keyed_matrix` numbers its rows alike.
+    """
+    usable = response.where(F.col("ln_ic50").isNotNull())
+    matched = usable.join(bridge.withColumnRenamed("model_id", "__model"), "cosmic_id")
+    models = expression.groupBy("model_id").agg(F.count("*").alias("__n"))
+    rows = matched.join(models, F.col("__model").eqNullSafe(F.col("model_id")))
+    return rows.select(
+        "assay_id",
+        "drug_slug",
+        "drug_name",
+        "cell_line_id",
+        F.col("model_id").cast("string").alias("depmap_model_id"),
+        F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("copy"),
+        "ln_ic50",
+    )
+
+
+def keyed_matrix(expression: DataFrame) -> DataFrame:
+    """``depmap_model_id, copy, features``: the matrix by model, repeats numbered in the order of their features' hash."""
+    order = Window.partitionBy("model_id").orderBy(F.xxhash64("features"))
+    return expression.select(F.col("model_id").cast("string").alias("depmap_model_id"), F.row_number().over(order).alias("copy"), "features")
+
+
+def with_features(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """Rows of :func:`narrow_dataset` (any further columns) with their features. The matrix travels once, the rows are narrow."""
+    side = matrix.select(F.col("depmap_model_id").alias("__model"), F.col("copy").alias("__copy"), "features")
+    same = F.col("depmap_model_id").eqNullSafe(F.col("__model")) & (F.col("copy") == F.col("__copy"))
+    return rows.join(side, same).drop("__model", "__copy")
+
+
 def stage_counts(
     response: DataFrame,
     bridge: DataFrame,
@@ -142,14 +189,41 @@ def clean_targets(df: DataFrame, target: str) -> DataFrame:
 
 
 def checked_align(features: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """:func:`align` after the id contracts: both sides have rows, ids are present and unique, and both hold the same ids."""
-    quality.enforce(
-        quality.not_empty(features, "features_not_empty"),
-        quality.not_empty(target, "target_not_empty"),
-        quality.id_not_null(features, key, "features_id_not_null"),
-        quality.id_not_null(target, key, "target_id_not_null"),
-        quality.id_unique(features, [key], "features_id_unique"),
-        quality.id_unique(target, [key], "target_id_unique"),
-        quality.id_set_equal(features, target, key),
+    """:func:`align` with the id contracts watched in the pass that joins: both sides have rows, ids are present and unique, and both
+    hold the same ids. What breaks them raises with a count and an example, and the aligned table, written to the workspace, is
+    read back otherwise: one job instead of one per contract.
+
+    Rows are joined in full and by null-safe keys, so that what is missing on a side is seen; how often a key stands on a side is
+    counted within the join's own partitioning.
+    """
+    taken = {c.lower() for c in (*features.columns, *target.columns)}
+    assert not {"__left", "__right", "__key"} & taken
+    kinds = dict(features.dtypes)[key], dict(target.dtypes)[key]
+    own = features.withColumn("__left", F.count("*").over(Window.partitionBy(key)))
+    other = target.withColumn("__right", F.count("*").over(Window.partitionBy(key))).withColumnRenamed(key, "__key")
+    joined = own.join(other, F.col(key).eqNullSafe(F.col("__key")), "full")
+    shown = F.coalesce(F.col(key).cast("string"), F.col("__key").cast("string"))
+    left, right = F.col("__left").isNotNull(), F.col("__right").isNotNull()
+    broken = {
+        "features_id_not_null": left & is_missing(F.col(key), kinds[0]),
+        "target_id_not_null": right & is_missing(F.col("__key"), kinds[1]),
+        "features_id_unique": left & (F.col("__left") > 1),
+        "target_id_unique": right & (F.col("__right") > 1),
+        "missing_in_right": left & ~right,
+        "missing_in_left": right & ~left,
+    }
+    watched = Observation()
+    seen = joined.observe(
+        watched,
+        F.count_if(left).alias("features_rows"),
+        F.count_if(right).alias("target_rows"),
+        *(F.count_if(c).alias(name) for name, c in broken.items()),
+        *(F.min(F.when(c, shown)).alias(f"{name}_sample") for name, c in broken.items()),
     )
-    return align(features, target, key)
+    out = materialise(seen.where(left & right).drop("__left", "__right", "__key"))
+    found = watched.get
+    empty = [name for name in ("features", "target") if not found[f"{name}_rows"]]
+    faults = [f"{name}_not_empty" for name in empty] + [f"{name}: {found[name]}, such as {found[f'{name}_sample']!r}" for name in broken if found[name]]
+    if faults:
+        raise quality.ContractViolation(f"Data contracts violated: {faults}")
+    return out

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dosewise.constants import L1_RATIOS, MAX_SWEEPS, N_ALPHAS
 from dosewise.functions.numbers import alpha_at, alpha_values
-from dosewise.session import ship_package
+from dosewise.session import arrow_schema, ship_package
 
 _BUFFER_BYTES = 256 << 20
 _TOLERANCE = 1e-10
@@ -49,13 +49,6 @@ def penalty_grid(entities: DataFrame, entity: str, l1_ratios: list[float] | None
     )
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def _reduced(rows: np.ndarray) -> np.ndarray:
     """Rows with the same products, no more of them than columns."""
     return np.linalg.qr(rows, mode="r") if len(rows) > rows.shape[1] else rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dosewise.constants import BACKGROUND_SIZE, PREVIEW_TERMS, SIGNIFICANCE, TOP_TERMS
 from dosewise.functions.numbers import minus_log10
-from dosewise.functions.stats import hypergeometric_tail, odds_ratio
+from dosewise.functions.stats import hypergeometric_log_tail, odds_ratio
 from dosewise.operators.rank import top_per_entity
 
 
@@ -50,9 +50,10 @@ def _counts() -> tuple[Column, Column, Column]:
 
 
 def score_terms(hits: DataFrame, entity: str, background: int | Column = BACKGROUND_SIZE) -> DataFrame:
-    """Add p-value, adjusted p-value (per entity and library), odds ratio and combined score.
+    """Add p-value, adjusted p-value (per entity and library), odds ratio, combined score, and the logarithms ``ln_p, ln_adj_p``.
 
-    Within an entity these depend only on overlap and set size. They are computed
+    Correction and combined score are taken from the logarithms, so terms whose p-value is below the range of a double are still
+    ordered, corrected and scored. Within an entity these depend only on overlap and set size. They are computed
     once per distinct pair, and the correction runs over the pairs weighted by
     their number of terms, so its window stays small however many terms there are.
     """
@@ -61,32 +62,27 @@ def score_terms(hits: DataFrame, entity: str, background: int | Column = BACKGRO
     sized = hits.withColumn("__total", total.cast("bigint"))
     pairs = sized.groupBy(*keys).agg(F.count("*").alias("__terms"), F.max("__total").alias("__total"))
     overlap, drawn, marked = _counts()
-    scored = pairs.withColumn("p_value", hypergeometric_tail(overlap, drawn, marked, F.col("__total"))).withColumn(
+    scored = pairs.withColumn("ln_p", hypergeometric_log_tail(overlap, drawn, marked, F.col("__total"))).withColumn(
         "odds_ratio", odds_ratio(overlap, drawn, marked, F.col("__total"))
     )
-    adjusted = adjust_p_values(scored, [entity, "gene_set"], "p_value", "__terms")
-    side = adjusted.withColumn("combined_score", -F.ln("p_value") * F.col("odds_ratio")).drop("__terms", "__total", "n_genes")
+    adjusted = adjust_log_p_values(scored, [entity, "gene_set"], "ln_p", "__terms")
+    probabilities = adjusted.withColumn("p_value", F.exp("ln_p")).withColumn("adj_p", F.exp("ln_adj_p"))
+    side = probabilities.withColumn("combined_score", -F.col("ln_p") * F.col("odds_ratio")).drop("__terms", "__total", "n_genes")
     side = side.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in side.columns])
     match = F.col(entity).eqNullSafe(F.col(f"__{entity}"))
     for k in ("gene_set", "overlap", "set_size"):
         match = match & (F.col(k) == F.col(f"__{k}"))
     return hits.join(side, match).select(
-        *hits.columns, "p_value", "adj_p", "odds_ratio", "combined_score"
+        *hits.columns, "p_value", "adj_p", "odds_ratio", "combined_score", "ln_p", "ln_adj_p"
     )
 
 
-def adjust_p_values(df: DataFrame, groups: list[str], p: str, weight: str) -> DataFrame:
-    """Benjamini-Hochberg over weighted rows: each row stands for ``weight`` equal p-values."""
-    upward = Window.partitionBy(*groups).orderBy(p).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    downward = Window.partitionBy(*groups).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy(*groups)
-    return (
-        df.withColumn("__rank", F.sum(weight).over(upward))
-        .withColumn("__m", F.sum(weight).over(everything))
-        .withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
-        .withColumn("adj_p", F.least(F.lit(1.0), F.min("__raw").over(downward)))
-        .drop("__rank", "__m", "__raw")
-    )
+def adjust_log_p_values(df: DataFrame, groups: list[str], ln_p: str, weight: str) -> DataFrame:
+    """Benjamini-Hochberg on logarithms over weighted rows: each row stands for ``weight`` equal p-values. Adds ``ln_adj_p``."""
+    upward = Window.partitionBy(*groups).orderBy(ln_p).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    downward = Window.partitionBy(*groups).orderBy(F.desc(ln_p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    share = F.ln(F.sum(weight).over(Window.partitionBy(*groups)) / F.sum(weight).over(upward))
+    return df.withColumn("__raw", F.col(ln_p) + share).withColumn("ln_adj_p", F.least(F.lit(0.0), F.min("__raw").over(downward))).drop("__raw")
 
 
 def enrich(genes: DataFrame, library: DataFrame, entity: str, background: int | Column = BACKGROUND_SIZE) -> DataFrame:

@@ -10,9 +10,10 @@ from dosewise.constants import (
     EXPRESSION_ID_ALIASES,
     METADATA_COSMIC_ALIASES,
     METADATA_MODEL_ALIASES,
+    MIN_SHARED_FEATURES,
     RESPONSE_ROLES,
 )
-from dosewise.operators import assemble, profile
+from dosewise.operators import assemble, features, profile, quality
 
 
 def response_columns(response: DataFrame) -> dict[str, str]:
@@ -44,17 +45,19 @@ def build_dataset(
     expression: DataFrame,
     min_samples: int | None = None,
     only_entity: str | None = None,
+    narrow: bool = False,
 ) -> DataFrame:
     """One row per usable (response row, expression row) pair of every entity, or of one.
 
     ``response`` has ``assay_id, drug_name, cosmic_raw, ln_ic50_raw``; ``metadata``
     has ``model_id, cosmic_raw``; ``expression`` has ``model_id, features``. With
-    ``min_samples`` smaller entities are left out.
+    ``min_samples`` smaller entities are left out. ``drug_slug`` is the entity's own key: names that differ in signs only, or have
+    none but signs, stay apart. ``narrow`` leaves the features out, for ``train_all(..., matrix=keyed_matrix(expression))``.
     """
     chosen = response if only_entity is None else assemble.entity_filter(response, "drug_name", only_entity)
-    standard = assemble.standardise_response(chosen)
+    standard = assemble.name_entities(assemble.standardise_response(chosen), assemble.storage_names(response))
     bridge = assemble.standardise_bridge(metadata)
-    rows = assemble.join_features(standard, bridge, expression)
+    rows = (assemble.narrow_dataset if narrow else assemble.join_features)(standard, bridge, expression)
     if min_samples is None:
         return rows
     return assemble.eligible_rows(rows, assemble.stage_counts(standard, bridge, expression, min_samples))
@@ -66,7 +69,7 @@ def detected_dataset(
     expression: DataFrame,
     row_id: str,
     min_samples: int | None = None,
-    features: str = "features",
+    features_col: str = "features",
 ) -> DataFrame:
     """:func:`build_dataset` on tables as they come: the columns' roles are detected from their names first."""
     own, side, wide = response_columns(response), metadata_columns(metadata), expression_id_column(expression)
@@ -77,5 +80,15 @@ def detected_dataset(
         F.col(f"`{own['ln_ic50']}`").alias("ln_ic50_raw"),
     )
     bridge = metadata.select(F.col(f"`{side['model_id']}`").alias("model_id"), F.col(f"`{side['cosmic_id']}`").alias("cosmic_raw"))
-    matrix = expression.select(F.col(f"`{wide}`").alias("model_id"), F.col(f"`{features}`").alias("features"))
+    matrix = expression.select(F.col(f"`{wide}`").alias("model_id"), F.col(f"`{features_col}`").alias("features"))
     return build_dataset(named, bridge, matrix, min_samples)
+
+
+def aligned_pair(
+    left: DataFrame, left_names: DataFrame, right: DataFrame, right_names: DataFrame, target: DataFrame, key: str = "model_id", minimum: int = MIN_SHARED_FEATURES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two matrices cut to the features they share, in one order, and the left one aligned with ``target`` under the id contracts:
+    training rows, the other side's rows, and the names by position."""
+    own, other, names = features.shared_matrices(left, left_names, right, right_names)
+    quality.enforce(quality.min_shared_features(names, minimum))
+    return assemble.checked_align(own, target, key), other, names

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosewise.constants import CV_FOLDS, N_ALPHAS, SEED, TEST_FRACTION
-from dosewise.operators import elasticnet, score, split
+from dosewise.operators import assemble, elasticnet, score, split
 from dosewise.session import materialise
 
 
@@ -37,6 +37,7 @@ def train_all(
     group_col: str | None = None,
     l1_ratios: list[float] | None = None,
     n_alphas: int = N_ALPHAS,
+    matrix: DataFrame | None = None,
 ) -> Training:
     """Split, standardise, cross-validate, refit and score all entities together.
 
@@ -46,6 +47,8 @@ def train_all(
     the way (cut points, factors, scaler, errors, models) is written to the workspace. A missing
     or non-finite feature or target, or a row of another length, raises with the entity's name before anything is fitted;
     ``errors`` and ``model`` tell for each fit whether it met its optimality conditions. ``raw`` scores raw features.
+    With ``matrix`` (``assemble.keyed_matrix``) the dataset is a narrow one, and features are joined where factors are built and where
+    test rows are scored; nothing as wide as the dataset is stored.
     """
     named = dataset.where(F.col(entity).isNotNull())
     keys = [group_col] if group_col else list(row_cols)
@@ -53,7 +56,12 @@ def train_all(
         split.split_points(named, entity, keys, seed, test_fraction, folds, distinct_keys=group_col is not None)
     )
     rows = split.assign_split(named, entity, list(row_cols), seed, test_fraction, folds, group_col, points)
-    factors = elasticnet.fold_factors(rows.where("split = 'train'"), entity, n_features, target=target)
+    wide = (lambda part: part) if matrix is None else (lambda part: assemble.with_features(part, matrix))
+    merge = None
+    if matrix is not None:
+        sizes = rows.where("split = 'train'").groupBy(entity, "fold").agg(F.count("*").alias("n"))
+        merge = (sizes.agg(F.max("n")).first()[0] or 0) > n_features + 2
+    factors = elasticnet.fold_factors(wide(rows.where("split = 'train'")), entity, n_features, target=target, merge=merge)
     # entities keep all cores busy, or their folds must
     spread = points.count() < named.sparkSession.sparkContext.defaultParallelism
     if spread:
@@ -65,6 +73,6 @@ def train_all(
     else:
         model = elasticnet.models_of(found, entity)
     raw = materialise(elasticnet.raw_model(model, scaler, entity))
-    predictions = score.predict(rows.where("split = 'test'"), raw, entity)
+    predictions = score.predict(wide(rows.where("split = 'test'")), raw, entity)
     metrics = score.evaluate(predictions, entity, target)
     return Training(rows, scaler, errors, model, raw, predictions, metrics)

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import csv
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dosewise.constants import EMPTY_ENTITY
 from dosewise.functions.numbers import to_number
 from dosewise.functions.text import decode_missing, strip_blank
+from dosewise.session import arrow_schema, materialise
 
+#: Characters of records that a task holds before it passes them on.
+_RECORD_BYTES = 16 << 20
 _SEPARATORS = {".csv": ",", ".tsv": "\t"}
 #: Default of the widest text table that ``read_table`` takes; a parameter there.
 MAX_COLUMNS = 65536
@@ -97,24 +103,86 @@ def split_cells(line: Column) -> Column:
     return F.transform(raw, lambda c: F.when(quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
-def read_expression_csv(spark: SparkSession, path: str, id_name: str, id_alias: str = "model_id") -> tuple[DataFrame, DataFrame]:
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records ``(file, first, record)`` of CSV files in which quoted cells may hold line breaks; files are still read in many parts.
+
+    Whether a part of a file begins inside quotes is told by the number of quotes before it: a first pass counts them per part, and
+    sums over the parts of a file give each part's start. In the second pass every task cuts its lines into records. What a part
+    begins with of a record of an earlier part, and what it ends with of one that goes on, are pieces; only pieces are shuffled, and
+    put together in order. ``first`` marks a file's first record. A quote that is never closed makes the rest of its file one record.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counts = lines.groupBy("file", "at").agg(F.sum(quotes).alias("quotes"))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "at", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+    # a row per part of a file, some tens of bytes for what a task reads
+    marked = lines.join(F.broadcast(starts), ["file", "at"])
+    schema = "file string, at bigint, nr bigint, kind string, first boolean, record string"
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, nr, inside, kind, rows, size = None, [], 0, False, "whole", [], 0
+
+        def piece(kind: str) -> tuple:
+            return (*part, nr, kind, part[1] == 0 and nr == 0, "\n".join(held))
+
+        for batch in batches:
+            for file, at, value, within in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "value", "inside")), strict=True):
+                if (file, at) != part:
+                    if held:
+                        rows.append(piece("head" if kind == "whole" else "middle"))
+                    part, held, nr, inside = (file, at), [], 0, within
+                    kind = "tail" if within else "whole"
+                held.append(value)
+                size += len(value)
+                inside ^= value.count('"') % 2 == 1
+                if not inside:
+                    rows.append(piece(kind))
+                    held, nr, kind = [], nr + 1, "whole"
+                if rows and size > _RECORD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                    rows, size = [], 0
+        if held:
+            rows.append(piece("head" if kind == "whole" else "middle"))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    found = materialise(marked.mapInArrow(run, schema))
+    pieces = found.where("kind <> 'whole'")
+    # a record is known by where its head stands; parts it runs through, and the one it ends in, follow in order
+    upto = Window.partitionBy("file").orderBy("at", "nr")
+    numbered = pieces.withColumn("begun", F.last(F.when(F.col("kind") == "head", F.col("at")), ignorenulls=True).over(upto))
+    joined = numbered.groupBy("file", "begun").agg(F.sort_array(F.collect_list(F.struct("at", "nr", "record"))).alias("p"), F.max("first").alias("first"))
+    long = joined.select("file", "first", F.array_join("p.record", "\n").alias("record"))
+    ended = F.regexp_replace("record", "\r$", "")
+    return found.where("kind = 'whole'").select("file", "first", "record").unionByName(long).select("file", "first", ended.alias("record")).where("record <> ''")
+
+
+def read_expression_csv(spark: SparkSession, path: str, id_name: str, id_alias: str = "model_id", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Wide expression CSV to ``(id, features ARRAY<DOUBLE>)`` plus ``(pos, feature)``.
 
     Lines are read whole and split by one expression, so that tens of thousands of gene columns never become columns of a
-    plan; only the header line reaches the driver. Quoted cells and headers are understood, line breaks inside quotes are
-    not. Each file's first line is its header. A line with more or fewer cells than the header raises with its beginning.
+    plan; only the header line reaches the driver. Quoted cells and headers are understood; line breaks inside quotes are with
+    ``multiline``, which reads the files twice (:func:`quoted_records`). Each file's first line is its header. A line with more or fewer cells than the header raises with its beginning.
     """
     if os.path.splitext(path.rstrip("/"))[1].lower() != ".csv":
         raise ValueError(f"The expression matrix must be a .csv path, got: {path}")
-    first = spark.read.text(path).first()
+    records = quoted_records(spark, path) if multiline else None
+    first = spark.read.text(path).first() if records is None else records.where("first").select(F.col("record").alias("value")).first()
     if first is None:
         raise ValueError("Expression table is empty")
-    names = next(csv.reader([first["value"]]))
+    names = next(csv.reader(first["value"].splitlines(keepends=True)))
     if id_name not in names:
         raise ValueError(f"The expression table has no column {id_name!r}")
     id_pos = names.index(id_name)
     # no separator and no quote: a line is one column, and Spark leaves out each file's header
-    lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", header=True, enforceSchema=True, maxCharsPerColumn=-1)
+    if records is None:
+        lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", header=True, enforceSchema=True, maxCharsPerColumn=-1)
+    else:
+        lines = records.where("NOT first").select(F.col("record").alias("value"))
     cells = split_cells(F.col("value"))
     checked = lines.select("value", cells.alias("found")).select(
         F.when(F.size("found") == len(names), F.col("found"))
@@ -153,7 +221,10 @@ def read_entity_dataset(spark: SparkSession, path: str, schema: T.StructType | s
     The schema is given, so that a numeric-looking slug is not read as a number.
     """
     table = spark.read.schema(schema).parquet(path)
-    return table if slug is None else table.where(F.col("drug_slug") == slug)
+    chosen = table if slug is None else table.where(F.col("drug_slug") == (slug or EMPTY_ENTITY))
+    if "drug_slug" not in table.columns:
+        return chosen
+    return chosen.withColumn("drug_slug", F.when(F.col("drug_slug") == EMPTY_ENTITY, "").otherwise(F.col("drug_slug")))
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:

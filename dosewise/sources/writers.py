@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewise.constants import FALLBACK_SLUG
+from dosewise.constants import EMPTY_ENTITY
 
 
 def write_entity_dataset(df: DataFrame, path: str, entity: str = "drug_slug", mode: str = "overwrite") -> None:
@@ -14,9 +14,9 @@ def write_entity_dataset(df: DataFrame, path: str, entity: str = "drug_slug", mo
     The rebalance step groups rows by entity for few files, and lets AQE cut an
     entity that holds much of the data into several write tasks. Only the
     entities at hand are overwritten. An empty name would come back as NULL; it is
-    stored as the fallback name.
+    stored under a name that no slug has, and ``read_entity_dataset`` takes that back.
     """
-    kept = df if dict(df.dtypes)[entity] != "string" else df.withColumn(entity, F.when(F.col(entity) == "", FALLBACK_SLUG).otherwise(F.col(entity)))
+    kept = df if dict(df.dtypes)[entity] != "string" else df.withColumn(entity, F.when(F.col(entity) == "", EMPTY_ENTITY).otherwise(F.col(entity)))
     (
         kept.hint("rebalance", F.col(entity))
         .write.mode(mode)
