@@ -32,8 +32,9 @@ SHINGLE = 3
 #: Similarity in percent.
 PERCENT = 90
 FRAGMENTS = 8
-#: Sizes of sets up to which a sketch of 256 bits can tell differences.
+#: Sizes of sets up to which a sketch of 256 bits can tell differences, and of larger ones with the longs of their wider sketches.
 SKETCHED = 600
+WIDER = {2400: 16, 9600: 64}
 #: Shingles counted at once in a task, and the sum from which a shingle counts as frequent.
 COUNT_STEP, FREQUENT = 4_000_000, 8
 #: Entries of the table of frequent shingles that is sent to all tasks (16 bytes each), at most: the most frequent ones. It only
@@ -94,7 +95,8 @@ def sets(rows: DataFrame, width: int) -> DataFrame:
 
 def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int, fragments: int) -> DataFrame:
     """Per row ``doc, n, s1, s2``, its sketch (four longs), the first fragment's shingles cut to 32 bits, and the prefix of its set
-    in the global order. A sketch says nothing of a large set and is left 0 there, so it is compared with no other. Cut shingles may agree by chance, which can
+    in the global order. A sketch says nothing of a large set and is left 0 there; such a set has a wider one in ``wide``, if it is
+    not larger than ``WIDER`` tells. Only sketches of one width are compared. Cut shingles may agree by chance, which can
     only make a difference look smaller, so they rule out no link."""
     table = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -115,12 +117,15 @@ def prefixes(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: in
             some = own if n <= SKETCHED else own[:0]
             bits = np.bincount((some & np.uint64(255)).astype(np.int64), minlength=256) & 1
             sketch = _signed(np.packbits(bits.astype(np.uint8)).view(np.uint64)).tolist()
+            longs = next((size for most, size in WIDER.items() if SKETCHED < n <= most), 0)
+            flips = np.bincount((own & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1 if longs else np.zeros(0, np.int64)
+            wide = _signed(np.packbits(flips.astype(np.uint8)).view(np.uint64)).tolist()
             part = own[: np.searchsorted(own, np.uint64((1 << 64) // fragments))]
-            return doc, n, *_digest(own), *sketch, (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), _signed(prefix).tolist()
+            return doc, n, *_digest(own), *sketch, wide, (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist(), _signed(prefix).tolist()
 
         return row
 
-    return map_rows(rows, "doc bigint, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, part array<int>, prefix array<bigint>", make)
+    return map_rows(rows, "doc bigint, n bigint, s1 bigint, s2 bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, wide array<bigint>, part array<int>, prefix array<bigint>", make)
 
 
 def segments(rows: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -150,10 +155,13 @@ def segments(rows: DataFrame, width: int, fragments: int) -> DataFrame:
 
 def _possible(percent: int) -> str:
     """Sizes and sketches of ``x`` and ``y`` allow the similarity. A difference d and sizes m, n: overlap (m + n - d) / 2,
-    union (m + n + d) / 2, so d (100 + p) <= (m + n) (100 - p). Sketches count where both sets have one."""
+    union (m + n + d) / 2, so d (100 + p) <= (m + n) (100 - p). Sketches count where both sets have one of the same width."""
     bits = " + ".join(f"bit_count(x.k{i} ^ y.k{i})" for i in range(1, 5))
-    sketched = f"greatest(x.n, y.n) > {SKETCHED} OR ({bits}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND ({sketched})"
+    wide = "aggregate(zip_with(x.wide, y.wide, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)"
+    fits = f"* {100 + percent} <= (x.n + y.n) * {100 - percent}"
+    small = f"greatest(x.n, y.n) <= {SKETCHED} AND ({bits}) {fits}"
+    large = f"greatest(x.n, y.n) > {SKETCHED} AND (size(x.wide) <> size(y.wide) OR size(x.wide) = 0 OR {wide} {fits})"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND (({small}) OR ({large}))"
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
@@ -235,19 +243,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         .where(f"size > 1 AND (100 * below >= {percent} * n OR 100 * n >= {percent} * above)")
         .select("key", "shingle", "leader")
     )
-    members = materialise(shared.join(traits, "key"))
+    members = materialise(shared)
 
     star = (
         members.where("key <> leader")
-        .drop("shingle")
+        .select("leader", "key")
         .distinct()
+        .join(traits, "key")
         .alias("x")
         .join(traits.alias("y"), F.expr(f"x.leader = y.key AND {_possible(percent)}"))
         .select(F.col("x.leader").alias("a"), F.col("x.key").alias("b"))
     )
     links = verified(possible_by_part(star, described, percent), rows, nodes, width, percent, fragments)
     labels = components(links)
-    labelled = members.drop("leader").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = members.select("key", "shingle").join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # lists whose members are in one component already are settled, and no sketch is sent for them
+    unsettled = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    labelled = materialise(named.join(unsettled, "shingle", "left_semi").join(traits, "key"))
     cross = (
         labelled.alias("x")
         .join(labelled.alias("y"), F.expr(f"x.shingle = y.shingle AND x.key < y.key AND x.component <> y.component AND {_possible(percent)}"))

@@ -106,6 +106,21 @@ def test_ngram_join_on_both_sides_of_the_sketch_limit(corpus):
     assert got[0][0] == limit and got[1] == (limit + 1, 0)
 
 
+@pytest.mark.parametrize("size, copies", [(150, 500), (700, 60), (2500, 24), (9800, 8)])
+def test_ngram_join_of_copies_about_the_threshold(corpus, size, copies):
+    """One group of copies with more or less changed, their similarities on both sides of 0.9, in sets of every sketch's width."""
+    chance = random.Random(size)
+    base, rows = [f"w{chance.randrange(10**6)}" for _ in range(size)], []
+    for k in range(copies):
+        words = list(base)
+        for at in chance.sample(range(size), chance.randrange(1, max(2, size // 36))):
+            words[at] = f"x{chance.randrange(10**6)}"
+        rows.append((k, " ".join(words[: size - chance.randrange(size // 40)])))
+    want = brute_components(rows)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(corpus(rows)).collect()}
+    assert found == want and len({c for _, c in want.values()}) < copies
+
+
 def test_ngram_join_counts_repeated_rows_once(corpus):
     chance = random.Random(19)
     word = lambda: chance.choice("bcdfgklm") + "".join(chance.choice("aeioubcdfgklm") for _ in range(5))
