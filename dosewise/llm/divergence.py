@@ -97,56 +97,61 @@ def tree_corrections(rows: DataFrame) -> DataFrame:
     schema = arrow_schema(rows.sparkSession, schema_text)
 
     class Tree:
-        """The open path of one language's tree, and the sums of the nodes closed so far."""
+        """The open path of one language's tree, and the sums of the nodes closed so far by pair of sources."""
 
         def __init__(self, lang: str):
-            self.lang, self.path, self.below = lang, [], []
+            self.lang, self.path = lang, []
             self.ids: dict[str, int] = {}
-            self.at, self.p, self.p0 = (np.zeros(16, np.int64) for _ in range(3))
-            self.sums: dict[int, np.ndarray] = {}
+            self.at, self.p, self.p0, self.m = (np.zeros(16, np.int64) for _ in range(4))
+            self.pairs, self.values, self.size = [], [], 0
 
         def close(self, depth: int) -> None:
-            """Close the nodes deeper than ``depth``, deepest first."""
-            while len(self.path) > depth:
-                _, q, q0 = self.path.pop()
-                m, d = self.below.pop(), len(self.path)
-                if not d:
-                    return
-                self.below[-1] += m
-                p, p0 = self.p[:d], self.p0[:d]
-                value = m * (np.abs(p - q) + np.abs(p0 - q0) - np.abs(p - q0) - np.abs(p0 - q))
-                node = int(self.at[d])
-                if node not in self.sums or len(self.sums[node]) < len(self.ids):
-                    old = self.sums.get(node, np.zeros(0, np.int64))
-                    self.sums[node] = np.concatenate([old, np.zeros(2 * len(self.ids) - len(old), np.int64)])
-                self.sums[node][self.at[:d]] += value
+            """Close the nodes deeper than ``depth``, all at once: a node counts the terms of those below it too."""
+            d = len(self.path)
+            if d <= depth:
+                return
+            self.m[depth:d] = self.m[depth:d][::-1].cumsum()[::-1]
+            if depth:
+                self.m[depth - 1] += self.m[depth]
+            depths = np.arange(depth, d)
+            node = np.repeat(depths, depths)
+            ancestor = np.arange(len(node)) - np.repeat(depths.cumsum() - depths, depths)
+            p, p0, q, q0 = self.p[ancestor], self.p0[ancestor], self.p[node], self.p0[node]
+            self.values.append(self.m[node] * (np.abs(p - q) + np.abs(p0 - q0) - np.abs(p - q0) - np.abs(p0 - q)))
+            self.pairs.append(self.at[ancestor] << 32 | self.at[node])
+            self.size += len(node)
+            del self.path[depth:]
 
         def insert(self, path: list[tuple[str, int, int]], m: int) -> None:
             common = 0
             while common < min(len(path), len(self.path)) and path[common] == self.path[common]:
                 common += 1
             self.close(common)
-            for source, p, p0 in path[common:]:
-                d = len(self.path)
-                if d == len(self.at):
-                    self.at, self.p, self.p0 = (np.concatenate([v, np.zeros_like(v)]) for v in (self.at, self.p, self.p0))
-                self.at[d], self.p[d], self.p0[d] = self.ids.setdefault(source, len(self.ids)), p, p0
-                self.path.append((source, p, p0))
-                self.below.append(0)
-            if self.below:
-                self.below[-1] += m
-
-        def size(self) -> int:
-            return len(self.sums) * len(self.ids)
+            if len(path) > len(self.at):
+                self.at, self.p, self.p0, self.m = (np.concatenate([v, np.zeros(2 * len(path) - len(v), np.int64)]) for v in (self.at, self.p, self.p0, self.m))
+            for d in range(common, len(path)):
+                source, self.p[d], self.p0[d] = path[d]
+                self.at[d] = self.ids.setdefault(source, len(self.ids))
+                self.m[d] = 0
+            self.path = path
+            if path:
+                self.m[len(path) - 1] += m
+
+        def reduce(self) -> None:
+            """One sum for each pair."""
+            if self.size:
+                pairs, values = np.concatenate(self.pairs), np.concatenate(self.values)
+                order = np.argsort(pairs, kind="stable")
+                first = np.flatnonzero(np.diff(pairs[order], prepend=-1))
+                self.pairs, self.values, self.size = [pairs[order][first]], [np.add.reduceat(values[order], first)], len(first)
 
         def flush(self) -> Iterator[pa.RecordBatch]:
-            names = np.array(list(self.ids), object)
-            for node, sums in self.sums.items():
-                found = np.flatnonzero(sums[: len(names)])
-                a, b = names[found].tolist(), [str(names[node])] * len(found)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sums[found])], schema=schema)
-            self.sums = {}
+            self.reduce()
+            if self.size:
+                names, pairs = pa.array(list(self.ids), pa.string()), self.pairs[0]
+                a, b = (names.take(pa.array(v)) for v in (pairs >> 32, pairs & 0xFFFFFFFF))
+                yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(pairs), pa.string()), a, b, pa.array(self.values[0])], schema=schema)
+            self.pairs, self.values, self.size = [], [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = None
@@ -157,15 +162,19 @@ def tree_corrections(rows: DataFrame) -> DataFrame:
                         tree.close(0)
                         yield from tree.flush()
                     tree = Tree(lang)
-                elif tree.size() > 10 * HELD:
-                    yield from tree.flush()
+                elif tree.size > 4 * HELD:
+                    tree.reduce()
+                    if tree.size > HELD:
+                        yield from tree.flush()
                 tree.insert([(i["source"], i["p"], i["p0"]) for i in path], m)
         if tree is not None:
             tree.close(0)
             yield from tree.flush()
 
-    dealt = rows.select("lang", "path", "m").repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    return dealt.mapInArrow(run, schema_text)
+    # ranges of hashed beginnings keep like beginnings together, and what Spark samples to set the ranges stays short
+    beginnings = [F.xxhash64(F.slice("path", 1, n)) for n in (1, 2, 4, 8)]
+    dealt = rows.repartitionByRange("lang", *beginnings, F.xxhash64("path")).sortWithinPartitions("lang", "path")
+    return dealt.select("lang", "path", "m").mapInArrow(run, schema_text)
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
