@@ -62,7 +62,9 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]
 
 
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    """The Arrow schema of a DDL string, fixed on the driver."""
+    """The Arrow schema of a DDL string, fixed on the driver. Every operator with Python workers asks for one before it starts
+    them, so this is also where the session is prepared."""
+    prepare(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -79,13 +81,13 @@ def free_name(taken: list[str], wish: str) -> str:
     return name
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)`` (long ids, undirected) as ``(id, component)``.
 
     Every node takes the smallest label among its neighbours' labels, then the label of its
     label; rounds end when nothing changes. Labels only fall and each is a node of the same
-    component, so the fixed point is the smallest id of the component. Rounds are written tables;
-    links and labels stay in Spark.
+    component, so the fixed point is the smallest id of the component and is always reached. Rounds
+    are written tables; links and labels stay in Spark.
     """
     edges = materialise(
         links.select(F.col("a").alias("x"), F.col("b").alias("y"))
@@ -94,7 +96,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     labels = materialise(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = (
             edges.join(labels.withColumnRenamed("id", "y"), "y")
             .groupBy(F.col("x").alias("id"))
@@ -108,4 +110,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = moved.select("id", "label")
         if moved.where("old <> label").limit(1).count() == 0:
             return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
