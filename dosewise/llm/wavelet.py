@@ -11,6 +11,7 @@ leaves no broken file behind. The payload's format is given at :meth:`Wavelet.pa
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -194,19 +195,26 @@ class WordIds:
     """Ids of whole texts by a ``tokenizers`` file whose normaliser and splitter keep words apart at white space.
 
     Such a tokenizer gives for a text the ids of its ASCII-white-space-separated words one after the other (white space is
-    dropped, and neither the normal form nor a match crosses it), so the library encodes each distinct word once.
+    dropped, and neither the normal form nor a match crosses it), so the library encodes each distinct word once. What else
+    saves look-ups, ASCII words in lower case and a letter's last mark apart, is probed, and done only where it holds.
+    Control strings inside texts get the ids that the library gives them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self._words = _Words(self)
-        probe = ["Abc, déf's", "x y", "e ́a", "<|endoftext|>"]
+        controls = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_control = re.compile(b"|".join(map(re.escape, controls)) or b"(?!)", re.IGNORECASE).search
+        probe = ["Abc, déf's", "x y", "e ́a", *[f"{c.decode()} a{c.decode()}b." for c in controls]]
         whole = self._library([" \n".join(probe)])[0]
         if whole != [i for word in " ".join(probe).split(" ") for i in self._library([word])[0]]:
             raise ValueError("this tokenizer does not keep words apart at white space")
+        mixed = ["HELLO", "McDonald", "AbC1x", "It'S", "I'LL", *[chr(65 + i) + chr(97 + i) for i in range(26)]]
+        self.folds_case = self._library(mixed) == self._library([w.lower() for w in mixed])
+        marked = [(w, m) for w in ("word", "it's", "a1b", "U.S", "x") for m in ".,!"]
+        self.parts_marks = self._library([w + m for w, m in marked]) == [a + b for a, b in zip(self._library([w for w, _ in marked]), self._library([m for _, m in marked]), strict=True)]
+        self._words = _Words(self)
 
         # lower-case ASCII letters pass normaliser and splitter unchanged, so the library's model can take them at once
         plain = [bytes(range(97, 123)).decode()[i % 26 :] for i in range(26)]
@@ -237,9 +245,11 @@ class _Words(dict):
         self.coder = coder
 
     def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in b".,!" and word[-2:-1].isalpha():
+        if self.coder.has_control(word):
+            ids = self.coder.ids_of(word)
+        elif self.coder.parts_marks and word[-1:] in b".,!" and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
-        elif word.isascii() and not word.islower() and (low := word.lower()) != word:
+        elif self.coder.folds_case and word.isascii() and not word.islower() and (low := word.lower()) != word:
             ids = self[low]
         else:
             ids = self.coder.ids_of(word)

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PATTERN = public_tokenizers.PATTERN
-ODD = ["", " ", "a", "don't stop\r\n\r\n now", "  two  spaces ", "tab\tand\x1cseparator \x85 x", "é́ ß 中文 🙂🙂", "a" * 3000, "!" * 500, "<|endoftext|> x", "ÉCOLE, İ. A.B,c x,", "9 99.9, x y"]
+ODD = ["", " ", "a", "don't stop\r\n\r\n now", "  two  spaces ", "tab\tand\x1cseparator \x85 x", "é́ ß 中文 🙂🙂", "a" * 3000, "!" * 500, "<|endoftext|> x", "a<|endoftext|>b. <|ENDOFTEXT|> <|startoftext|>, x", "ÉCOLE, İ. A.B,c x,", "9 99.9, x y"]
 
 
 @pytest.fixture(scope="module")
@@ -88,7 +88,6 @@ def test_wavelet_query(spark, corpus, monkeypatch):
     wavelet.write(corpus(rows), folder, WORDS, 2, 3)
     got = sorted(map(tuple, wavelet.digests(spark, folder).collect()), key=lambda r: r[1])
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     want, start = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
