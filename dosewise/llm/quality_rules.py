@@ -13,9 +13,10 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .common import map_rows, quoted, text_bytes
 
 SYMBOLS = b"#*$%&|<>"  # fixed by the contract
@@ -24,6 +25,8 @@ _NOT_CHARACTERS = _SPACE + bytes(range(0x80, 0xC0))  # white space and continuat
 _UPPER, _LOWER, _DIGIT = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)), bytes(range(0x30, 0x3A))
 #: Labelled documents that the training takes at most, half of each label as far as there are.
 TRAIN_DOCS = 2000
+#: Line feeds in the training documents together, half for each label, and in one of them. A longer document does not train.
+TRAIN_LINES, TRAIN_DOC_LINES = 400_000, 20_000
 CONTENT_SHARE = 0.5
 FEATURES = ("one", "symbols", "exclamations", "upper", "digits", "bars", "repeated", "few_words", "long_words", "mid_symbols", "stutter")
 
@@ -199,14 +202,33 @@ def fit(chains: list[np.ndarray], bad: list[bool], rounds: int = 4, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
-    """Fit on at most ``TRAIN_DOCS`` labelled documents, chosen by a hash of their id: half of each label where there are
-    enough. They enter the fit whole. Repeated labels of an id are all used; null ids, labels and texts are left out."""
+    """Fit on at most ``TRAIN_DOCS`` labelled documents of ``TRAIN_LINES`` lines together, chosen by a hash of their id: half of
+    each label where there are enough. They enter the fit whole; one of more than ``TRAIN_DOC_LINES`` lines does not train. Rows
+    that repeat an id, a text and a label count once; other texts and labels of an id are documents of their own, within the
+    same bounds. Null ids, labels and texts are left out."""
     wanted = labels.where(F.col(quoted(label_col)).isin(0, 1)).select(F.col(quoted(id_col)).cast("string").alias("key"), F.col(quoted(label_col)).alias("label"))
     picked = None
     for label in (0, 1):
         own = wanted.where(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(TRAIN_DOCS // 2)
         picked = own if picked is None else picked.unionByName(own)
-    rows = docs.select(F.col(quoted(id_col)).cast("string").alias("key"), text_bytes(text_col).alias("text")).join(picked, "key")
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    measured = docs.select(
+        F.col(quoted(id_col)).cast("string").alias("key"),
+        text_bytes(text_col).alias("text"),
+        F.sha2(text, 256).alias("digest"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n")))).alias("lines"),
+    )
+    rows = measured.join(picked.distinct(), "key")
+    # a row of digests for each of these documents, in one order per label; at most TRAIN_DOCS rows reach the window
+    short = rows.where(F.col("lines") <= TRAIN_DOC_LINES).select("key", "digest", "label", "lines").distinct()
+    order = (F.xxhash64("key"), "key", "digest")
+    so_far = F.sum("lines").over(Window.partitionBy("label").orderBy(*order))
+    chosen = None
+    for label in (0, 1):
+        own = short.where(F.col("label") == label).orderBy(*order).limit(TRAIN_DOCS // 2)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    fitting = materialise(chosen.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_LINES // 2).select("key", "digest", "label"))
+    rows = rows.join(fitting, ["key", "digest", "label"], "left_semi").dropDuplicates(["key", "digest", "label"])
 
     def make():
         def row(text, label):

@@ -90,6 +90,18 @@ def test_quality_rules_train_on_whole_documents(spark, corpus, monkeypatch):
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
     quality_rules.train(corpus([(1, late), (2, "one\ntwo")]), labels)
     assert sorted(held) == [(2, False), (600, True)]
+    # rows that repeat count once, and other texts of an id stay within the bounds
+    held.clear()
+    again = corpus([(1, late)]).crossJoin(spark.range(10_000).select("id")).drop("id")
+    quality_rules.train(again.unionByName(corpus([(2, "one\ntwo")])), labels.union(labels))
+    assert sorted(held) == [(2, False), (600, True)]
+    held.clear()
+    monkeypatch.setattr(quality_rules, "TRAIN_DOCS", 40)
+    monkeypatch.setattr(quality_rules, "TRAIN_LINES", 30)
+    monkeypatch.setattr(quality_rules, "TRAIN_DOC_LINES", 6)
+    many = [(1, f"text {n}\nand\nmore") for n in range(100)] + [(2, f"text {n}") for n in range(100)] + [(2, "a\n" * 7)]
+    quality_rules.train(corpus(many), labels)
+    assert sorted(held) == [(1, False)] * 20 + [(3, True)] * 7
 
 
 def test_viterbi_is_the_best_path():
