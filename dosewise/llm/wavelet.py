@@ -30,6 +30,21 @@ BLOCK = 512  # bits between two entries of the directory
 SHARD_TOKENS = 1 << 20
 #: Words that a worker remembers before it starts anew.
 MAX_WORDS = 1_000_000
+#: Marks that a splitter keeps apart from the letter or digit before them.
+_MARKS = b".,!?;:#*$%&|<>()[]{}+=/\"-"
+#: Latin letters end before this character.
+_LATIN_END = 0x180
+_LATIN_LAST = chr(_LATIN_END)
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level tokenizers write bytes: printable Latin-1 as it is, the others from U+0100 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 SHARD_SCHEMA = "part int, first_start bigint, n_docs bigint, n_tokens bigint, shard binary"
 
@@ -196,7 +211,7 @@ class WordIds:
 
     Such a tokenizer gives for a text the ids of its ASCII-white-space-separated words one after the other (white space is
     dropped, and neither the normal form nor a match crosses it), so the library encodes each distinct word once. What else
-    saves look-ups, ASCII words in lower case and a letter's last mark apart, is probed, and done only where it holds.
+    saves look-ups, lower case, the last marks apart and Latin letters as one piece, is probed, and done only where it holds.
     Control strings inside texts get the ids that the library gives them.
     """
 
@@ -212,13 +227,17 @@ class WordIds:
             raise ValueError("this tokenizer does not keep words apart at white space")
         mixed = ["HELLO", "McDonald", "AbC1x", "It'S", "I'LL", *[chr(65 + i) + chr(97 + i) for i in range(26)]]
         self.folds_case = self._library(mixed) == self._library([w.lower() for w in mixed])
-        marked = [(w, m) for w in ("word", "it's", "a1b", "U.S", "x") for m in ".,!"]
+        marked = [(w, m) for w in ("word", "it's", "a1b", "U.S", "x", "9", "x7") for m in (*_MARKS.decode(), "...", '!"', "***&&&", "),")]
         self.parts_marks = self._library([w + m for w, m in marked]) == [a + b for a, b in zip(self._library([w for w, _ in marked]), self._library([m for _, m in marked]), strict=True)]
         self._words = _Words(self)
 
-        # lower-case ASCII letters pass normaliser and splitter unchanged, so the library's model can take them at once
-        plain = [bytes(range(97, 123)).decode()[i % 26 :] for i in range(26)]
-        self._plain_is_piece = all([t.id for t in self.tokenizer.model.tokenize(w)] == self._library([w])[0] for w in plain)
+        # words of Latin letters are one piece in lower case, which the library's model can take at once, a character a byte
+        latin = [c for c in map(chr, range(0x41, _LATIN_END)) if c.lower().isalpha()]
+        plain = [f"{c}{d}" for c, d in zip(latin, latin[1:])] + [f"wor{c}d" for c in latin] + ["".join(latin[i % 26 :]) for i in range(26)]
+        self._plain_is_piece = all(self._piece(w.lower()) == ids for w, ids in zip(plain, self._library(plain), strict=True))
+
+    def _piece(self, text: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(text if text.isascii() else "".join(map(_BYTE_CHARACTERS.__getitem__, text.encode())))]
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -226,8 +245,8 @@ class WordIds:
     def ids_of(self, word: bytes) -> bytes:
         """Ids of one word by the library."""
         text = word.decode("utf-8", "replace")
-        if self._plain_is_piece and word.isalpha() and word.islower():
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        if self._plain_is_piece and text.isalpha() and max(text) < _LATIN_LAST and (low := text.lower()).isalpha():
+            return array("I", self._piece(low)).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -238,7 +257,7 @@ class WordIds:
 
 
 class _Words(dict):
-    """Ids of words met so far. ASCII words are looked up in lower case, and a letter's last mark apart."""
+    """Ids of words met so far. ASCII words are looked up in lower case, and the marks behind a letter or digit apart."""
 
     def __init__(self, coder: WordIds):
         super().__init__()
@@ -247,8 +266,8 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         if self.coder.has_control(word):
             ids = self.coder.ids_of(word)
-        elif self.coder.parts_marks and word[-1:] in b".,!" and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
+        elif self.coder.parts_marks and word[-1] in _MARKS and (head := word.rstrip(_MARKS))[-1:].isalnum():
+            ids = self[head] + self[word[len(head) :]]
         elif self.coder.folds_case and word.isascii() and not word.islower() and (low := word.lower()) != word:
             ids = self[low]
         else:
