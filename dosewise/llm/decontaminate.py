@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, quoted, text_bytes
+from ..session import materialise
+from .common import map_rows, quoted, text_bytes
 
 WINDOW = 13
-#: Benchmark words in one automaton at most; larger benchmarks are taken in blocks, one narrow pass each.
+#: Benchmark words in one automaton, about; larger benchmarks are dealt into blocks, a task of their own each.
 BLOCK_WORDS = 200_000
 #: Fixed by the definition of a word: ASCII but 0-9, A-Z and a-z separates words; A-Z is lower-cased.
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -91,6 +91,23 @@ def offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(heads[places[a][0]]), int(heads[places[b - 1][1]])) for a, b in spans]
 
 
+def pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """``item, text, n_words``: the items' words, a longer item than a block in pieces that have its windows between them."""
+    items = benchmark.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"), text_bytes(text_col).alias("text"))
+
+    def make():
+        def row(item, text):
+            own = words(text)
+            starts = range(0, max(1, len(own) - window + 1), block_words) if own else ()
+            cuts = [own[at : at + block_words + window - 1] for at in starts]
+            return item, [{"text": b" ".join(cut), "n_words": len(cut)} for cut in cuts]
+
+        return row
+
+    cut = map_rows(items, "item string, parts array<struct<text:binary,n_words:int>>", make)
+    return cut.select("item", F.inline("parts")).distinct()
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Hits of benchmark windows in every whole text.
 
@@ -98,46 +115,81 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     contaminated`` (a hit, and hits make a twentieth of the words or more), ``items`` (sorted ids as strings) and ``spans``
     (hit ranges as character offsets in the text).
 
-    The benchmark is measured by Spark and taken in blocks of about ``block_words`` words: only one block's items are in
-    the driver or an automaton at a time. Null texts have no words, on either side; an item with a null id counts as the
+    A benchmark of ``block_words`` words or less is one automaton, and texts are scanned where they are read. A larger one is
+    dealt into blocks (an item longer than a block is cut, without losing a window): the texts are read once a block in tasks
+    of their own, so that a task has one block's automaton at a time and the driver one block's items; only hits are shuffled,
+    by the text's digest, and merged per text. Null texts have no words, on either side; an item with a null id counts as the
     id ``''``; rows are independent, so repeated rows and null keys give a row each. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"), text_bytes(item_text_col).alias("text"))
-    # a word needs a separator, so half a text's length bounds its words
-    bound = items.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0
-    blocks = max(1, -(-int(bound) // (4 * block_words)))  # words of natural text take far more than two bytes
+    listed = materialise(pieces(benchmark, item_col, item_text_col, window, block_words))
+    blocks = max(1, -(-int(listed.agg(F.sum("n_words")).first()[0] or 0) // block_words))
     kind = docs.schema[id_col].dataType.simpleString()
-    state = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_bytes(text_col).alias("text"), F.lit(None).cast("array<bigint>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for block in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        listed = [(r["item"], bytes(r["text"])) for r in own.collect()]
-        last = block == blocks - 1
-        schema = RESULT.format(kind=kind) if last else f"doc_id {kind}, text binary, hits array<bigint>, items array<string>"
-        state = state.mapInArrow(_scanner(listed, window, last, arrow_schema(spark, schema)), schema)
-    return state
-
-
-def _scanner(listed: list[tuple[str, bytes]], window: int, last: bool, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = WindowAutomaton(listed, window)
-        for batch in batches:
-            rows = []
-            for doc, text, hits, items in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+    texts = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_bytes(text_col).alias("text"))
+    schema = RESULT.format(kind=kind)
+    if blocks == 1:
+        own = spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in listed.select("item", "text").collect()])
+
+        def whole():
+            automaton = WindowAutomaton(own.value, window)
+
+            def row(doc, text):
                 text_words = words(text)
-                spans, found = automaton.scan(text_words)
-                if hits:
-                    spans = merged([*spans, *zip(hits[::2], hits[1::2], strict=True)])
-                found.update(items or ())
-                if not last:
-                    rows.append((doc, text, [x for span in spans for x in span], sorted(found)))
-                    continue
-                n_hit = sum(b - a for a, b in spans)
-                names = sorted(found)
-                digest = hashlib.sha256(",".join(names).encode()).hexdigest()
-                where = [{"start": a, "end": b} for a, b in offsets(text, spans)]
-                rows.append((doc, len(text_words), n_hit, len(names), digest, n_hit > 0 and 20 * n_hit >= len(text_words), names, where))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return run
+                spans, items = automaton.scan(text_words)
+                return result(doc, len(text_words), spans, items, offsets(text, spans))
+
+            return row
+
+        return map_rows(texts, schema, whole)
+
+    dealt = listed.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    shared = [spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in dealt.where(F.col("block") == n).collect()]) for n in range(blocks)]
+
+    def in_block():
+        held: list = [None, None]  # the block and its automaton
+
+        def row(block, text):
+            if block != held[0]:
+                held[:] = None, None  # the last one goes before the next is built
+                held[:] = block, WindowAutomaton(shared[block].value, window)
+            spans, items = held[1].scan(words(text))
+            places = offsets(text, spans)
+            where = [{"low": a, "high": b, "start": c, "end": d} for (a, b), (c, d) in zip(spans, places, strict=True)]
+            return digest_of(text), block, sorted(items), where
+
+        return row
+
+    hit = "digest binary, block int, items array<string>, spans array<struct<low:bigint,high:bigint,start:bigint,end:bigint>>"
+    every = [texts.select(F.lit(n).alias("block"), "text") for n in range(blocks)]
+    found = map_rows(reduce(DataFrame.union, every), hit, in_block).where(F.size("items") > 0)
+    # equal texts have equal hits: one row for each text and block, so a group has no more rows than there are blocks
+    by_text = found.groupBy("digest", "block").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
+    by_text = by_text.groupBy("digest").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def counted():
+        def row(doc, text):
+            return doc, digest_of(text), len(words(text))
+
+        return row
+
+    def merging():
+        def row(doc, n_words, items, spans):
+            spans = [(s["low"], s["high"], s["start"], s["end"]) for s in spans or ()]
+            ranges = merged([s[:2] for s in spans])
+            first, last = {s[0]: s[2] for s in spans}, {s[1]: s[3] for s in spans}
+            return result(doc, n_words, ranges, set(items or ()), [(first[a], last[b]) for a, b in ranges])
+
+        return row
+
+    rows = map_rows(texts, f"doc_id {kind}, digest binary, n_words bigint", counted)
+    return map_rows(rows.join(by_text, "digest", "left").select("doc_id", "n_words", "items", "spans"), schema, merging)
+
+
+def digest_of(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def result(doc: object, n_words: int, spans: list[tuple[int, int]], items: set[str], places: list[tuple[int, int]]) -> tuple:
+    n_hit, names = sum(b - a for a, b in spans), sorted(items)
+    digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+    return doc, n_words, n_hit, len(names), digest, n_hit > 0 and 20 * n_hit >= n_words, names, [{"start": a, "end": b} for a, b in places]

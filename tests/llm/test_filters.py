@@ -47,6 +47,12 @@ def test_decontaminate(spark, corpus, block_words):
     assert [texts[2][s["start"] : s["end"]] for s in spans[2]] == ["Two, words", "two-words"] or [texts[2][s["start"] : s["end"]] for s in spans[2]] == ["Two, words! two-words"]
     assert decontaminate.find(corpus(rows), bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.find(corpus([]), bench).count() == 0
+    # a benchmark of many blocks scans in one operator, and one item of many blocks loses no window
+    many = spark.createDataFrame([(n, f"item{n} " * 4) for n in range(200)] + [(500, " ".join(f"w{n}" for n in range(700)))], "item_id long, text string")
+    docs = [(1, " ".join(f"w{n}" for n in range(650))), (2, "item7 " * 9 + "x item199 item199 item199 item199"), (3, "clean"), (3, "clean")]
+    found = decontaminate.find(corpus(docs), many, block_words=30)
+    assert sorted((r["doc_id"], r["n_hit"], r["items"]) for r in found.collect()) == [(1, 650, ["500"]), (2, 13, ["199", "7"]), (3, 0, []), (3, 0, [])]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # scan, words, merging
 
 
 def brute_counts(text):
