@@ -229,6 +229,48 @@ def test_compact_windows(corpus):
     assert compact_windows.find(corpus([])).count() == 0
 
 
+def test_compact_windows_of_ids_with_several_texts_and_repeated_rows(corpus):
+    chance = random.Random(5)
+    words = lambda n: ["".join(chance.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    copied, passage = " ".join(words(80)), words(60)
+    held = [" ".join(words(40) + passage + words(40)) for _ in range(2)]
+    twice = " ".join(words(30) + held[0].split()[:70])
+    rows = [(1, copied), (9, copied), (9, held[0]), (9, held[0]), (5, held[1]), (5, held[1]), (9, twice)]
+    got = [tuple(r) for r in compact_windows.find(corpus(rows)).collect()]
+    assert len(got) == len(set(got))
+    linked = {(frozenset(r[:2]), r[2]) for r in got}
+    assert (frozenset((1, 9)), "copy") in linked and (frozenset((5, 9)), "passage") in linked
+    assert not [r for r in got if r[0] == r[1]]
+
+
+def test_compact_windows_reach_all_of_large_groups(corpus):
+    """Recall on groups of near copies of one passage, each with one word of it changed: every member is connected to its group."""
+    chance = random.Random(8)
+    words = lambda n: ["".join(chance.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, groups = [], []
+    for g in range(4):
+        passage = words(70)
+        for k in range(150):
+            own = list(passage)
+            own[chance.randrange(70)] = f"changed{k}"
+            rows.append((1000 * g + k, " ".join(words(chance.randrange(5, 60)) + own + words(chance.randrange(5, 60)))))
+        groups.append({1000 * g + k for k in range(150)})
+    found = compact_windows.find(corpus(rows)).collect()
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in found:
+        assert r["doc_id"] // 1000 == r["other_id"] // 1000
+        root[top(r["doc_id"])] = top(r["other_id"])
+    # the largest connected part of each group
+    reached = [max(sum(top(i) == t for i in group) for t in group) for group in groups]
+    assert sum(reached) >= 0.9 * len(rows), reached
+
+
 def test_last_stage_decodes(spark, corpus):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(1, "some text, é 漢字\n"), (2, ""), (3, None), (1, "other text")]
