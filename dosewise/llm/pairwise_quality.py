@@ -2,7 +2,8 @@
 
 A document has a strength, linear in features of its text; in a pair, the better one wins with the logistic function of the
 difference of strengths. The weights come from preference pairs (a document labelled good against one labelled bad), by
-gradient descent on the logistic loss of feature differences. The threshold is a quantile of the training documents'
+Spark's logistic regression without intercept on feature differences. Every labelled document meets ``OPPONENTS`` documents of the
+other label, chosen by a hash, so pairs grow with the labels. The threshold is the exact quantile of all training documents'
 strengths: the share of bad labels among them. A score is the logistic function of strength less threshold, so 0.5 is the
 threshold.
 """
@@ -12,14 +13,19 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import map_rows, quoted, text_bytes
 
-#: Labelled documents of each label, and pairs, that the fit takes at most.
-TRAIN_DOCS, TRAIN_PAIRS = 10_000, 60_000
+#: Documents of the other label that each labelled document meets.
+OPPONENTS = 4
+#: Labelled documents that are numbered together, and relative error of the sketch that sets a slice about the threshold apart.
+BUCKET, ACCURACY = 1000, 10_000
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _KINDS = {
@@ -108,67 +114,76 @@ class Ranker:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) / self.scale @ self.weights
 
+    def of(self, column: Column) -> Column:
+        """The strength from a column of features, as one sum in the JVM; ``mean`` moves all alike and is left out."""
+        array = F.array(*[F.lit(float(s)) for s in self.weights / self.scale])
+        return F.aggregate(F.zip_with(column, array, lambda a, b: a * b), F.lit(0.0), lambda total, part: total + part)
+
     def score(self, column: Column) -> Column:
-        """The score from a column of features, as one sum in the JVM."""
-        slopes = self.weights / self.scale
-        offset = float(self.mean @ slopes + self.threshold)
-        array = F.array(*[F.lit(float(s)) for s in slopes])
-        strength = F.aggregate(F.zip_with(column, array, lambda a, b: a * b), F.lit(0.0), lambda total, part: total + part)
-        return 1 / (1 + F.exp(-(strength - offset)))
-
-
-def fit(good: np.ndarray, bad: np.ndarray, steps: int = 400, seed: int = 7) -> Ranker:
-    """Learn from features of good and bad documents; without one of the two every document gets the score 0.5."""
-    width = N_FEATURES
-    both = np.concatenate((good.reshape(-1, width), bad.reshape(-1, width)))
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    better, worse = (good - mean) / scale, (bad - mean) / scale
-    chance = np.random.default_rng(seed)
-    pairs = min(TRAIN_PAIRS, 20 * max(len(good), len(bad)))
-    # every document takes part in about equally many pairs
-    i, j = (chance.permutation(np.resize(np.arange(len(x)), pairs)) for x in (good, bad))
-    weights, first, second = np.zeros(width), np.zeros(width), np.zeros(width)
-    for step in range(1, steps + 1):
-        batch = chance.integers(0, pairs, 4096)
-        difference = better[i[batch]] - worse[j[batch]]
-        miss = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-        gradient = -(difference * miss[:, None]).mean(axis=0) + 1e-3 * weights
-        first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
-        weights = weights - 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    strengths = (both - mean) / scale @ weights
-    return Ranker(mean, scale, weights, float(np.quantile(strengths, len(bad) / len(both))))
+        """The score from a column of features."""
+        offset = float(self.mean @ (self.weights / self.scale) + self.threshold)
+        return 1 / (1 + F.exp(-(self.of(column) - offset)))
+
+
+def pairs(known: DataFrame, counts: dict[int, int], opponents: int = OPPONENTS) -> DataFrame:
+    """``better, worse``: features of a good and a bad document of ``known(doc_id, label, features)``. Every document is in
+    ``opponents`` pairs at least, with documents of the other label dealt by a hash: one of a bucket, by its number there."""
+    buckets = {label: max(1, count // BUCKET) for label, count in counts.items()}
+    bucket_of = lambda label, order: F.pmod(order, F.when(label == 1, buckets[1]).otherwise(buckets[0]))
+    # features are part of the order: rows that repeat an id count as often as they stand there
+    hashed = known.withColumn("order", F.xxhash64("doc_id", "features"))
+    own = Window.partitionBy("label", "bucket")
+    numbered = hashed.withColumn("bucket", bucket_of(F.col("label"), F.col("order"))).withColumn("number", F.row_number().over(own.orderBy("order")) - 1)
+    numbered = materialise(numbered)
+    sizes = numbered.groupBy("label", "bucket").agg(F.count("*").alias("size"))
+    times = F.explode(F.sequence(F.lit(1), F.lit(opponents)))
+    asked = numbered.select((1 - F.col("label")).alias("label"), F.col("features").alias("asker"), "order", F.col("number").alias("own"), times.alias("k"))
+    asked = asked.withColumn("bucket", bucket_of(F.col("label"), F.xxhash64("order", "own", "k")))
+    asked = asked.join(sizes, ["label", "bucket"]).withColumn("number", F.pmod(F.xxhash64("k", "own", "order"), "size").cast("int"))
+    met = asked.select("label", "bucket", "number", "asker").join(numbered.select("label", "bucket", "number", "features"), ["label", "bucket", "number"])
+    # the label of the join is that of the opponent
+    asker_wins = F.col("label") == 0
+    return met.select(F.when(asker_wins, F.col("asker")).otherwise(F.col("features")).alias("better"), F.when(asker_wins, F.col("features")).otherwise(F.col("asker")).alias("worse"))
+
+
+def quantile(strengths: DataFrame, below: int, total: int) -> float:
+    """The mean of the ``below``-th smallest of all ``total`` values in ``strengths(s)`` and the next: exact. A sketch sets a slice
+    apart; what lies before it is counted and only its distinct values are ordered."""
+    reach = 2.0 / ACCURACY
+    at = [max(0.0, below / total - reach), min(1.0, (below + 1) / total + reach)]
+    low, high = strengths.agg(F.percentile_approx("s", F.array(*[F.lit(x) for x in at]), ACCURACY)).first()[0]
+    # equal strengths are one value with a count, however many documents have it
+    slice_ = strengths.where(F.col("s").between(low, high)).groupBy("s").agg(F.count("*").alias("n"))
+    before = strengths.where(F.col("s") < low).count()
+    reached = before + F.sum("n").over(Window.orderBy("s"))
+    ordered = slice_.select("s", reached.alias("reached"))
+    first, second = ordered.agg(F.min(F.when(F.col("reached") >= max(1, below), F.col("s"))), F.min(F.when(F.col("reached") >= min(total, below + 1), F.col("s")))).first()
+    return (first + second) / 2
 
 
 def train(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Ranker:
-    """Fit on labelled rows of ``described``: at most ``TRAIN_DOCS`` of each label, chosen by a hash of their id.
+    """Fit on all labelled rows of ``described``.
 
-    Only rows that :func:`learnable` allows are used; null ids and labels are left out, of repeated labels each counts. Both
-    numbers are kept in the proportion of all labels for the threshold.
+    Only rows that :func:`learnable` allows are used; null ids and labels are left out, of repeated labels each counts. Without one
+    of the two labels every document gets the score 0.5.
     """
-    own = labels.where(learnable(id_col) & F.col(quoted(label_col)).isin(0, 1)).select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(label_col)).alias("label"))
-    known = described.join(own, "doc_id")
-    sides, totals = [], []
-    for label in (1, 0):
-        side = known.where(F.col("label") == label)
-        totals.append(side.count())
-        # a hash keeps little more than is wanted, so that no task sends the driver a full sample of its own
-        share = min(1.0, 1.5 * TRAIN_DOCS / max(1, totals[-1]))
-        order = F.xxhash64("doc_id")
-        some = side.where(F.pmod(order, F.lit(1 << 30)) <= int(share * (1 << 30)))
-        rows = some.orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id").limit(TRAIN_DOCS).select("features").collect()
-        sides.append(np.array([r["features"] for r in rows], np.float64).reshape(-1, N_FEATURES))
-    ranker = fit(*sides)
-    if all(len(s) for s in sides):
-        # the quantile of all labelled documents: weight each side's strengths by its number of labels
-        strengths = np.concatenate([ranker.strength(s) for s in sides])
-        weight = np.concatenate([np.full(len(s), t / len(s)) for s, t in zip(sides, totals, strict=True)])
-        order = np.argsort(strengths)
-        reached = np.cumsum(weight[order]) / weight.sum()
-        at = min(int(np.searchsorted(reached, totals[1] / sum(totals))), len(order) - 1)
-        after = min(at + 1, len(order) - 1)
-        ranker.threshold = float((strengths[order[at]] + strengths[order[after]]) / 2)
+    own = labels.where(learnable(id_col) & F.col(quoted(label_col)).isin(0, 1)).select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(label_col)).cast("int").alias("label"))
+    known = materialise(described.join(own, "doc_id"))
+    counts = {0: 0, 1: 0} | {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if not min(counts.values()):
+        return Ranker(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
+    moments = known.select(array_to_vector("features").alias("v")).agg(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("x")).select("x.*").first()
+    mean, scale = moments["mean"].toArray(), np.sqrt(moments["variance"].toArray()) + 1e-3
+    # each pair is told from either side, so that both classes are there
+    by_scale = F.array(*[F.lit(float(x)) for x in scale])
+    difference = F.zip_with(F.zip_with("better", "worse", lambda a, b: a - b), by_scale, lambda d, x: d / x)
+    won = F.pmod(F.xxhash64("better", "worse"), F.lit(2))
+    told = pairs(known, counts).select(difference.alias("d"), won.cast("double").alias("won"))
+    told = told.select("won", array_to_vector(F.transform("d", lambda d: d * (2 * F.col("won") - 1))).alias("d"))
+    model = LogisticRegression(featuresCol="d", labelCol="won", fitIntercept=False, standardization=False, regParam=1e-3, maxIter=100).fit(told)
+    ranker = Ranker(mean, scale, model.coefficients.toArray(), 0.0)
+    strengths = materialise(known.select((ranker.of(F.col("features")) - float(mean @ (ranker.weights / scale))).alias("s")))
+    ranker.threshold = quantile(strengths, counts[0], sum(counts.values()))
     return ranker
 
 

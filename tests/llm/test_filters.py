@@ -145,6 +145,21 @@ def test_pairwise_quality(spark, corpus):
     assert {r["score"] for r in pairwise_quality.rank(corpus(rows), labels.where("quality = 1")).collect()} == {0.5}
 
 
+def test_pairwise_quality_learns_from_all_labels(spark):
+    """Every labelled document is in pairs with the other label, however uneven the labels are, and the threshold is exact."""
+    chance = np.random.default_rng(3)
+    for n in ({1: 2500, 0: 30}, {1: 1500, 0: 2600}, {1: 1, 0: 1}):
+        rows = [(k, int(k < n[1]), [float(k)]) for k in range(n[1] + n[0])]
+        met = pairwise_quality.pairs(spark.createDataFrame(rows, "doc_id long, label int, features array<double>"), n, 2).collect()
+        assert len(met) == 2 * len(rows)
+        assert {r["better"][0] for r in met} == set(range(n[1])) and {r["worse"][0] for r in met} == set(range(n[1], len(rows)))
+    values = np.concatenate((np.round(chance.normal(size=30_000), 3), np.full(500, 0.25), chance.normal(size=20)))
+    ordered = np.sort(values)
+    held = spark.createDataFrame([(float(x),) for x in values], "s double")
+    for below in (1, 7, 12_345, 18_500, len(values) - 1):
+        assert pairwise_quality.quantile(held, below, len(values)) == (ordered[below - 1] + ordered[below]) / 2
+
+
 def test_secret_scan(spark, corpus):
     token = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
     rows = [(k, f'é some text then token = "{token(k)}" and on') for k in range(60)]
