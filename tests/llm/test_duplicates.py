@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from dosewise.llm import compact_windows, line_dedup, ngram_join
 from dosewise.llm.common import components
+from pyspark.sql import functions as F
 
 
 def brute_lines(rows):
@@ -271,6 +272,48 @@ def test_compact_windows_reach_all_of_large_groups(corpus):
     assert sum(reached) >= 0.9 * len(rows), reached
 
 
+def test_compact_windows_compares_the_rest_of_a_group(corpus):
+    """Two near copies meet under one minimum only, with a change on either side of it, and a text of lower id has it by chance."""
+    chance = np.random.default_rng(11)
+    mixed = lambda own: compact_windows.mix(own ^ compact_windows._SALTS[0]) | np.uint64(1)
+    words = lambda n: [f"w{x}" for x in chance.integers(0, 1 << 40, n)]
+    lowest = lambda own: int(np.argmin(mixed(compact_windows.tokens(" ".join(own).encode()))))
+    while lowest(own := words(95)) != 45:
+        pass
+    near = list(own)
+    near[39], near[59] = words(2)
+    assert lowest(near) == 45
+    # the lowest of its own text too, so that it is a window there
+    while lowest(decoy := words(60) + own[45:50] + words(60)) != 60:
+        pass
+    rows = [(0, " ".join(decoy)), (1, " ".join(own)), (2, " ".join(near)), (3, " ".join(words(95)))]
+    got = compact_windows.find(corpus(rows), functions=1).collect()
+    assert [(r["doc_id"], r["other_id"], r["start"], r["end"]) for r in got] == [(2, 1, 0, 95)]
+
+
+def test_rest_of_a_group_finds_all_similar_pairs(spark, monkeypatch):
+    """All pairs of windows of one minimum, in one block and in several, against brute force."""
+    chance = np.random.default_rng(12)
+    base, texts, minimum = chance.integers(0, 1 << 40, (3, 90)), [], chance.integers(0, 1 << 40, 5)
+    for k in range(60):
+        own = base[k % 3].copy()
+        own[chance.choice(90, k // 3 % 3, replace=False)] = chance.integers(0, 1 << 40, k // 3 % 3)
+        texts.append(" ".join(map(str, [*own[:43], *minimum, *own[43:]])))
+    sets = [compact_windows.tokens(t.encode()) for t in texts]
+    rows = spark.createDataFrame([(k, 0, t.encode()) for k, t in enumerate(texts)], "doc bigint, version bigint, text binary")
+    wanted = spark.createDataFrame([(7, k, 43, 0, 90, 60, k) for k in range(60)], "key bigint, doc bigint, place bigint, l int, r int, size bigint, label bigint")
+    similar = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert len(similar) > 100
+    pairs = lambda wanted, leaders=False: {(r["a"], r["b"]) for r in compact_windows._alike(compact_windows._surroundings(rows, wanted, 46, 0.8).withColumn("lead", F.col("doc") == 3), 46, 0.8, leaders).collect()}
+    for part in (compact_windows.PART, 25):
+        monkeypatch.setattr(compact_windows, "PART", part)
+        found = pairs(wanted)
+        assert similar <= found and not [p for p in found if p[0] % 3 != p[1] % 3]
+        assert {p for p in similar if 3 in p} <= (of_lead := pairs(wanted, True)) and {3} == set.intersection(*map(set, of_lead))
+    # what one label holds is connected already
+    assert not pairs(wanted.withColumn("label", wanted["doc"] % 3))
+
+
 def test_last_stage_decodes(spark, corpus):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(1, "some text, é 漢字\n"), (2, ""), (3, None), (1, "other text")]
