@@ -314,6 +314,31 @@ def test_rest_of_a_group_finds_all_similar_pairs(spark, monkeypatch):
     assert not pairs(wanted.withColumn("label", wanted["doc"] % 3))
 
 
+def test_anchors_that_cannot_be_in_a_similar_stretch_are_not_searched(monkeypatch):
+    """Fewest different shingles that a stretch lacks, against brute force; texts of repeated lines with too little in common end there."""
+    chance = np.random.default_rng(13)
+    for _ in range(60):
+        n, least = int(chance.integers(4, 60)), int(chance.integers(2, 5))
+        own, flags = chance.integers(0, 8, n), chance.random(8) < 0.5
+        got = compact_windows._fewest_alone(own, flags[own], least)
+        lacking = [len(set(own[s : s + least][~flags[own[s : s + least]]].tolist())) for s in range(n - least + 1)]
+        assert got.tolist() == [min(lacking[max(0, at - least + 1) : at + 1]) for at in range(n)]
+    monkeypatch.setattr(compact_windows, "_Search", None)
+    a, b = np.tile(np.arange(30), 20), np.tile(np.concatenate((np.arange(24), np.arange(50, 56))), 20)
+    assert not compact_windows.passages(a.astype(np.uint32), b.astype(np.uint32), [(k, k) for k in range(3, 600, 30)], 46, 0.8)
+
+
+def test_runs_of_one_word_are_no_match_for_each_other(spark):
+    """A shingle that repeats counts once: a short run of one word between others makes no pair with a long one."""
+    chance = np.random.default_rng(14)
+    words = lambda n: [f"w{x}" for x in chance.integers(0, 1 << 40, n)]
+    texts = [" ".join(["lol"] * run + words(n)) for run, n in ((37, 60), (130, 0), (132, 5))]
+    rows = spark.createDataFrame([(k, 0, t.encode()) for k, t in enumerate(texts)], "doc bigint, version bigint, text binary")
+    wanted = spark.createDataFrame([(7, k, 0, 0, 92, 3, k) for k in range(3)], "key bigint, doc bigint, place bigint, l int, r int, size bigint, label bigint")
+    near = compact_windows._surroundings(rows, wanted, 46, 0.8).withColumn("lead", F.lit(False))
+    assert {(r["a"], r["b"]) for r in compact_windows._alike(near, 46, 0.8).collect()} == {(1, 2)}
+
+
 def test_last_stage_decodes(spark, corpus):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(1, "some text, é 漢字\n"), (2, ""), (3, None), (1, "other text")]
