@@ -96,13 +96,13 @@ def held_out(id_col: str) -> Column:
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, features`` of every whole text; null texts as empty ones."""
+    """``doc_id, features`` of every whole text; null texts as empty ones. Features are shares and take 4 bytes each."""
 
     def make():
         return lambda key, text: (key, features(text))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(F.col(quoted(id_col)).alias("doc_id"), text_bytes(text_col).alias("text")), f"doc_id {kind}, features array<double>", make)
+    return map_rows(docs.select(F.col(quoted(id_col)).alias("doc_id"), text_bytes(text_col).alias("text")), f"doc_id {kind}, features array<float>", make)
 
 
 class Ranker:
@@ -135,7 +135,8 @@ def pairs(known: DataFrame, counts: dict[int, int], opponents: int = OPPONENTS)
     own = Window.partitionBy("label", "bucket")
     numbered = hashed.withColumn("bucket", bucket_of(F.col("label"), F.col("order"))).withColumn("number", F.row_number().over(own.orderBy("order")) - 1)
     numbered = materialise(numbered)
-    sizes = numbered.groupBy("label", "bucket").agg(F.count("*").alias("size"))
+    # written, so that its size is known before the join and the documents need no exchange for it
+    sizes = materialise(numbered.groupBy("label", "bucket").agg(F.count("*").alias("size")))
     times = F.explode(F.sequence(F.lit(1), F.lit(opponents)))
     asked = numbered.select((1 - F.col("label")).alias("label"), F.col("features").alias("asker"), "order", F.col("number").alias("own"), times.alias("k"))
     asked = asked.withColumn("bucket", bucket_of(F.col("label"), F.xxhash64("order", "own", "k")))

@@ -160,6 +160,19 @@ def test_pairwise_quality_learns_from_all_labels(spark):
         assert pairwise_quality.quantile(held, below, len(values)) == (ordered[below - 1] + ordered[below]) / 2
 
 
+def test_pairwise_quality_moves_features_once_a_pair(spark, corpus):
+    """Features take 4 bytes each, and the sizes of buckets need no exchange of the documents."""
+    described = pairwise_quality.describe(corpus([(1, "some text")]))
+    assert dict(described.dtypes)["features"] == "array<float>"
+    known = spark.range(6000).selectExpr("id as doc_id", "cast(id % 2 as int) as label", "array_repeat(cast(rand(5) as float), 46) as features")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        plan = pairwise_quality.pairs(known, {0: 3000, 1: 3000})._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1
+
+
 def test_secret_scan(spark, corpus):
     token = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
     rows = [(k, f'é some text then token = "{token(k)}" and on') for k in range(60)]
