@@ -202,6 +202,16 @@ def test_contexts_of_windows_are_told_apart():
         assert len(found) > 60_000 and len(set(found[side].to_pylist())) == len(found)
 
 
+def test_contexts_end_with_their_text():
+    """What a window is grouped by does not depend on the texts that are found in one go with it."""
+    schema = compact_windows.pa.schema([(n, compact_windows.pa.int32() if n in "clr" else compact_windows.pa.int64()) for n in ("key", "doc", "c", "l", "r", "to_right", "to_left")])
+    chance = np.random.default_rng(16)
+    texts = [chance.integers(1, 1 << 63, 300, dtype=np.uint64) for _ in range(3)]
+    together = compact_windows._windows_of(texts, [0, 1, 2], 46, 2, schema).to_pylist()
+    for k, own in enumerate(texts):
+        assert compact_windows._windows_of([own], [k], 46, 2, schema).to_pylist() == [r for r in together if r["doc"] == k]
+
+
 def test_compact_windows(corpus):
     chance = random.Random(3)
     word = lambda: "".join(chance.choice("abcdefgh") for _ in range(5))
@@ -339,6 +349,19 @@ def test_runs_of_one_word_are_no_match_for_each_other(spark):
     assert {(r["a"], r["b"]) for r in compact_windows._alike(near, 46, 0.8).collect()} == {(1, 2)}
 
 
+def test_windows_of_a_text_that_repeats_itself_are_not_paired_all_with_all(spark):
+    """Each place of a repeated passage makes a pair with one place of the other text, whatever their labels."""
+    words = " ".join(f"w{x}" for x in np.random.default_rng(15).integers(0, 1 << 40, 100))
+    rows = spark.createDataFrame([(k, 0, " ".join([words] * 12).encode()) for k in range(2)], "doc bigint, version bigint, text binary")
+    places = list(range(150, 1050, 100))
+    windows = [(7, doc, p, p - 50, p + 49, 18, 5000 * doc + p) for doc in range(2) for p in places]
+    wanted = spark.createDataFrame(windows, "key bigint, doc bigint, place bigint, l int, r int, size bigint, label bigint")
+    near = compact_windows._surroundings(rows, wanted, 46, 0.8).withColumn("lead", F.lit(False))
+    got = compact_windows._alike(near, 46, 0.8).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(0, 1)} and len(got) < 2 * len(places)
+    assert {r["ca"] for r in got} == {r["cb"] for r in got} == set(places)
+
+
 def test_last_stage_decodes(spark, corpus):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(1, "some text, é 漢字\n"), (2, ""), (3, None), (1, "other text")]
