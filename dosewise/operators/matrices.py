@@ -49,7 +49,9 @@ class Dense:
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """``starts[0], starts[0] + 1, …`` for each length in turn."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - ends + lengths, lengths)
+    out += np.arange(len(out))
+    return out
 
 
 def distinct(sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
